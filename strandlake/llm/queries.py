@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, simhash, toxicity
+from . import bpe, exact, licences, mixing, pii, quality, simhash, toxicity, url_rules, warc
 from .common import crc_fold, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +39,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.parse_records(warc.archive_round_trip(table(spark, sf_dir, "pages")))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pii.find_spans(F.col("text"), pii.train(docs)).alias("s"))
+    base = F.filter("s", lambda s: s["base"])
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base_of = lambda kind: F.filter("s", lambda s: s["base"] & (s["kind"] == kind))
+    counts = [F.size(base_of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("s")).alias("spans"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
     # not deterministic to the optimiser: texts are encoded once although ids are used three times
@@ -47,7 +61,24 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", bpe.id_count(ids).alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(bpe.decode(ids, path, pattern), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_exact_dedup, op4_toxicity, op7_byte_bpe)}
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = quality.judge_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.corpus_path()).drop("uid")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix_sources, op2_simhash, op3_exact_dedup, op4_toxicity, op5_warc, op6_pii, op7_byte_bpe, op8_url_rules, op9_quality_rules, op10_licences)
+}
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""
