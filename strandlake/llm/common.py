@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def values(column: pa.Array, rows: int = 200) -> Iterator:
+    """The values of an Arrow column, of which only some rows at a time are Python objects."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words; 0 for null and empty texts."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

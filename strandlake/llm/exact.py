@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import SPACE, checkpointed, fresh
+from .common import SPACE, checkpointed, fresh, values
 
 _DROP = SPACE.encode()
 _KEY = ("sha", "chk", "n_bytes")
@@ -27,8 +27,8 @@ _KEY = ("sha", "chk", "n_bytes")
 
 def _digest(text: pa.Array) -> pa.Array:
     sha, chk, size = [], [], []
-    for raw in text:
-        raw = (raw.as_py() or b"").translate(None, _DROP)
+    for raw in values(text):
+        raw = (raw or b"").translate(None, _DROP)
         sha.append(hashlib.sha256(raw).digest())
         chk.append(hashlib.blake2b(raw, digest_size=16).digest())
         size.append(len(raw))

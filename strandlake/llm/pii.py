@@ -13,7 +13,9 @@ from __future__ import annotations
 import random
 import re
 from bisect import bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import values
+
 #: Kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -265,7 +269,7 @@ def corpus_samples(docs: DataFrame, max_windows: int = 240) -> list[tuple[str, l
 
     def cut(texts: pa.Array) -> pa.Array:
         rows = []
-        for text in texts.to_pylist():
+        for text in values(texts):
             spans = base_spans(text)
             at = max(0, (spans[0][1] if spans else windows(text)[0]) - 20)
             end = at + WINDOW
@@ -273,8 +277,8 @@ def corpus_samples(docs: DataFrame, max_windows: int = 240) -> list[tuple[str, l
         return pa.array(rows, pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64())])))]))
 
     udf = arrow_udf(cut, "struct<text:string,spans:array<struct<kind:string,a:bigint,b:bigint>>>")
-    some = docs.where(F.col("text").rlike("[0-9@]")).select("text").orderBy(F.xxhash64("text"), "text").limit(max_windows)
-    return [(r.c.text, [(s.kind, s.a, s.b) for s in r.c.spans]) for r in some.select(udf("text").alias("c")).collect()]
+    cuts = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), udf("text").alias("c"))
+    return [(r.c.text, [(s.kind, s.a, s.b) for s in r.c.spans]) for r in cuts.orderBy("h", "c").limit(max_windows).toLocalIterator()]
 
 
 def train(docs: DataFrame, max_windows: int = 240, **options: float) -> Tagger:
@@ -326,8 +330,15 @@ def _bounds(text: str, kind: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def find_all(texts: list[str | None], model: Tagger, chunk: int = 1024) -> list[list[tuple[str, int, int, bool]]]:
-    """All spans (kind, start, end, found by a pattern) of each text, by start and kind."""
+def find_all(texts: Iterable[str | None], model: Tagger, rows: int = 200, chunk: int = 1024) -> list[list[tuple[str, int, int, bool]]]:
+    """All spans (kind, start, end, found by a pattern) of each text, by start and kind; some rows at a time."""
+    out, rest = [], iter(texts)
+    while part := list(islice(rest, rows)):
+        out += _find(part, model, chunk)
+    return out
+
+
+def _find(texts: list[str | None], model: Tagger, chunk: int) -> list[list[tuple[str, int, int, bool]]]:
     jobs = [(i, s) for i, text in enumerate(texts) if text for s in windows(text)]
     found: list[set[Span]] = [set() for _ in texts]
     for at in range(0, len(jobs), chunk):
@@ -354,7 +365,7 @@ def find_spans(text: Column, model: Tagger) -> Column:
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
     def udf(texts: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in spans] for spans in find_all(texts.to_pylist(), model)], pa.list_(kind))
+        return pa.array([[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in spans] for spans in find_all(values(texts), model)], pa.list_(kind))
 
     return arrow_udf(udf, "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")(text)
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import SPACE
+from .common import SPACE, values
 
 _SPACE = SPACE.encode()
 _SYMBOLS = b"#*$%&|<>"
@@ -101,7 +101,7 @@ def text_counts(text: Column) -> Column:
     """Struct of ``COUNTS``, all zero for null texts."""
 
     def udf(texts: pa.Array) -> pa.Array:
-        counts = count_all(texts.to_pylist())
+        counts = count_all(values(texts))
         return pa.StructArray.from_arrays([pa.array(counts[:, i]) for i in range(len(COUNTS))], list(COUNTS))
 
     return arrow_udf(udf, f"struct<{','.join(f'{c}:bigint' for c in COUNTS)}>")(text)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import checkpointed, components, fresh
+from .common import checkpointed, components, fresh, values
 
 SEED = 42
 #: Hashes are added up when so many have gathered.
@@ -80,7 +80,7 @@ def fingerprint(text: Column, width: int = 3) -> Column:
     """The fingerprint of a text as a signed long; 0 for texts without a word and null."""
 
     def udf(raw: pa.Array) -> pa.Array:
-        return pa.array(simhash_all(raw.to_pylist(), width).view(np.int64), pa.int64())
+        return pa.array(simhash_all(values(raw), width).view(np.int64), pa.int64())
 
     return arrow_udf(udf, "bigint")(F.coalesce(text, F.lit("")).cast("binary"))
 

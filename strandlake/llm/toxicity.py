@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import crc_fold
+from .common import crc_fold, values
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 #: Identity terms that may stand for each other, by family.
@@ -114,14 +114,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, held_out_fol
     marked = marked.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
     # twice as many ids as rows are wanted, since labels may be of documents that are gone
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(2 * max_rows)
-    distinct = arrow_udf(lambda texts: pa.array([sorted(words_of(t)) for t in texts.to_pylist()], pa.list_(pa.string())), "array<string>")
+    distinct = arrow_udf(lambda texts: pa.array([sorted(words_of(t)) for t in values(texts)], pa.list_(pa.string())), "array<string>")
     rows = docs.where("text is not null").select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id")).orderBy(F.xxhash64("id"), "id", "text").limit(max_rows)
     return fit([(set(r.w), r.y) for r in rows.select(distinct("text").alias("w"), "y").toLocalIterator()])
 
 
 def toxicity_score(text: Column, model: ToxicityModel) -> Column:
     """Score from 0 to 1 of a whole text; null and empty texts get that of no words."""
-    return arrow_udf(lambda texts: pa.array([model.score(t) for t in texts.to_pylist()], pa.float64()), "double")(text)
+    return arrow_udf(lambda texts: pa.array([model.score(t) for t in values(texts)], pa.float64()), "double")(text)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options: object) -> DataFrame:
