@@ -15,6 +15,7 @@ import base64
 import functools
 import heapq
 from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-#: Words whose ids a Python worker keeps; the store is emptied when it is full.
-KEPT_WORDS = 300_000
-#: New words are replayed together when their bytes reach this size.
-_BLOCK_BYTES = 2_000_000
+from .common import values
+
+#: Words whose ids a Python worker keeps, in two generations of which the older goes first.
+KEPT_WORDS = 400_000
+#: Texts are split, and their new words replayed together, when they reach so many characters.
+_BLOCK_CHARS = 16_000_000
+#: Longer words are replayed one symbol at a time; arrays serve the many short ones.
+_LONG = 200
 
 
 @functools.lru_cache(maxsize=2)
@@ -44,12 +49,18 @@ class MergeReplay:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.joined: dict[tuple[int, int], int | None] = {}
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # tokens in a dense order, as keys of pairs
+        self.order = {token: k for k, token in enumerate(ranks)}
+        self.place = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.place[list(ranks.values())] = np.arange(len(ranks))
+        self.pairs: tuple[np.ndarray, np.ndarray] | None = None
 
     def rank_of(self, left: int, right: int) -> int | None:
         """The rank, and id, of the token that two neighbours form; None if there is none."""
         pair = left, right
         if pair not in self.joined:
-            if len(self.joined) > 2_000_000:
+            if len(self.joined) > 200_000:
                 self.joined.clear()
             self.joined[pair] = self.ranks.get(self.token[left] + self.token[right])
         return self.joined[pair]
@@ -104,47 +115,121 @@ class MergeReplay:
             start = end
         return out
 
+    def replay_arrays(self, words: list[bytes]) -> list[bytes]:
+        """As :meth:`replay` for many short words: all places of a merge are applied at once, one a word.
+
+        Where a merge stands twice in a word the later place waits for its next turn, so that a
+        pair of lower rank that the first one makes goes before it. Ids come as little-endian bytes.
+        """
+        ends = np.cumsum([len(w) for w in words])
+        ids = self.single[np.frombuffer(b"".join(words), np.uint8)].astype(np.int32)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(ends, prepend=0))
+        after, before = np.arange(1, len(ids) + 1, dtype=np.int32), np.arange(-1, len(ids) - 1, dtype=np.int32)
+        after[ends - 1], before[ends - np.diff(ends, prepend=0)] = -1, -1
+        rank_at = np.full(len(ids), -1, np.int32)
+        at = np.flatnonzero(after >= 0).astype(np.int32)
+        rank_at[at] = self.ranks_of(ids[at], ids[at + 1])
+        places: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Enters places under the ranks of their pairs."""
+            own = rank_at[at]
+            at, own = at[own >= 0], own[own >= 0]
+            if not len(at):
+                return
+            order = np.argsort(own, kind="stable")
+            at, own = at[order], own[order]
+            cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+            for rank, start, end in zip(own[np.concatenate([[0], cuts])].tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+                if (held := places.get(rank)) is None:
+                    places[rank] = [at[start:end]]
+                    heapq.heappush(queue, rank)
+                else:
+                    held.append(at[start:end])
+
+        note(at)
+        while queue:
+            rank = heapq.heappop(queue)
+            held = places.pop(rank)
+            at = held[0] if len(held) == 1 else np.concatenate(held)
+            at = at[rank_at[at] == rank]
+            if len(at) > 1:
+                at.sort()
+                first = np.concatenate([[True], word[at[1:]] != word[at[:-1]]])
+                if not first.all():
+                    places[rank] = [np.unique(at[~first])]
+                    heapq.heappush(queue, rank)
+                    at = at[first]
+            elif not len(at):
+                continue
+            right = after[at]
+            beyond, prior = after[right], before[at]
+            ids[at], ids[right], rank_at[at], rank_at[right] = rank, -1, -1, -1
+            after[at] = beyond
+            ahead, behind = beyond >= 0, prior >= 0
+            beyond, left, prior, own = beyond[ahead], at[ahead], prior[behind], at[behind]
+            before[beyond] = left
+            rank_at[left] = self.ranks_of(ids[left], ids[beyond])
+            rank_at[prior] = self.ranks_of(ids[prior], ids[own])
+            note(np.concatenate([left, prior]))
+        live = ids >= 0
+        counts = np.bincount(word[live], minlength=len(words))
+        flat, stops = ids[live].astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [flat[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank that each pair of neighbours merges at, -1 for pairs that do not."""
+        if self.pairs is None:
+            found = [(a * len(self.token) + b, rank) for token, rank in self.ranks.items() for k in range(1, len(token)) if (a := self.order.get(token[:k])) is not None and (b := self.order.get(token[k:])) is not None]
+            self.pairs = tuple(np.array(x, np.int64) for x in zip(*sorted(found), strict=True)) if found else (np.array([-1]), np.array([-1]))
+        codes, ranks = self.pairs
+        want = self.place[left] * len(self.token) + self.place[right]
+        at = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
+        return np.where(codes[at] == want, ranks[at], -1)
+
     def learn(self, words: list[str]) -> None:
-        """Puts the ids of new words into the store, block by block."""
-        block, held = [], 0
+        """Puts the ids of new words into the store: whole tokens at once, the others by replay."""
+        short, raws = [], []
         for word in words:
             raw = word.encode()
             if (whole := self.ranks.get(raw)) is not None:
                 self.kept[word] = whole.to_bytes(4, "little")
-                continue
-            block.append((word, raw))
-            held += len(raw)
-            if held >= _BLOCK_BYTES:
-                self._replay_block(block)
-                block, held = [], 0
-        self._replay_block(block)
-
-    def _replay_block(self, block: list[tuple[str, bytes]]) -> None:
-        if block:
-            for (word, _), ids in zip(block, self.replay([raw for _, raw in block]), strict=True):
-                self.kept[word] = np.array(ids, "<u4").tobytes()
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+            elif len(raw) > _LONG:
+                self.kept[word] = np.array(self.replay([raw])[0], "<u4").tobytes()
+            else:
+                short.append(word)
+                raws.append(raw)
+        if sum(map(len, raws)) < 20_000:
+            coded = [np.array(ids, "<u4").tobytes() for ids in self.replay(raws)] if raws else []
+        else:
+            coded = self.replay_arrays(raws)
+        self.kept.update(zip(short, coded, strict=True))
+
+    def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        split: list[list[str]] = []
+        # a text becomes the numbers of its words in this block
+        number: dict[str, int] = {}
+        split: list[np.ndarray] = []
         held = 0
         for text in texts:
-            split.append(self.pieces(text) if text else [])
+            split.append(np.fromiter([number.setdefault(p, len(number)) for p in self.pieces(text)] if text else (), np.int32))
             held += len(text or "")
-            if held >= _BLOCK_BYTES:
-                out += self._encode_split(split)
-                split, held = [], 0
-        return out + self._encode_split(split)
-
-    def _encode_split(self, split: list[list[str]]) -> list[bytes]:
-        new = set().union(*split) - self.kept.keys() if split else set()
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = set().union(*split)
-        self.learn(sorted(new))
-        known = self.kept.__getitem__
-        return [b"".join(map(known, pieces)) for pieces in split]
+            if held >= _BLOCK_CHARS:
+                out += self._encode_split(number, split)
+                number, split, held = {}, [], 0
+        return out + self._encode_split(number, split)
+
+    def _encode_split(self, number: dict[str, int], split: list[np.ndarray]) -> list[bytes]:
+        new = number.keys() - self.kept.keys()
+        again = new & self.older.keys()
+        self.kept.update((w, self.older[w]) for w in again)
+        self.learn(sorted(new - again))
+        coded = [self.kept[word] for word in number]
+        if len(self.kept) > KEPT_WORDS // 2:
+            self.older, self.kept = self.kept if len(self.kept) <= KEPT_WORDS else {}, {}
+        return [b"".join(map(coded.__getitem__, words.tolist())) for words in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -164,7 +249,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     """
 
     def udf(texts: pa.Array) -> pa.Array:
-        return pa.array(replayer(path, pattern).encode_batch(texts.to_pylist()), pa.binary())
+        return pa.array(replayer(path, pattern).encode_batch(values(texts)), pa.binary())
 
     return arrow_udf(udf, "binary")(text)
 
@@ -174,7 +259,7 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 
     def udf(rows: pa.Array) -> pa.Array:
         known = replayer(path, pattern)
-        return pa.array([known.decode(ids or b"") for ids in rows.to_pylist()], pa.binary())
+        return pa.array([known.decode(ids or b"") for ids in values(rows)], pa.binary())
 
     return arrow_udf(udf, "binary")(ids)
 
