@@ -14,8 +14,10 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import re
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,19 @@ _BLOCK_CHARS = 16_000_000
 #: Longer words are replayed one symbol at a time; arrays serve the many short ones.
 _LONG = 200
 
+#: Fixed value: the split pattern of the byte-level vocabularies.
+_KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# the same for texts of ASCII and Latin letters only, where character ranges stand for the properties
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+_PLAIN = re.compile(rf" ?[{_LETTERS}]++|'(?:s|t|re|ve|m|ll|d)| ?[0-9]++| ?[^\s{_LETTERS}0-9]++|\s+(?!\S)|\s+").findall
+_NOT_PLAIN = re.compile(r"[^\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ſ]").search
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """A function that gives all matches of ``pattern`` in a text."""
+    general = regex.compile(pattern).findall
+    return general if pattern != _KNOWN else lambda text: general(text) if _NOT_PLAIN(text) else _PLAIN(text)
+
 
 @functools.lru_cache(maxsize=2)
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,7 +59,7 @@ class MergeReplay:
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pieces = ranks, regex.compile(pattern).findall
+        self.ranks, self.pieces = ranks, splitter(pattern)
         self.token = {rank: token for token, rank in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.joined: dict[tuple[int, int], int | None] = {}
@@ -210,15 +225,15 @@ class MergeReplay:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         # a text becomes the numbers of its words in this block
-        number: dict[str, int] = {}
+        number: dict[str, int] = defaultdict(count().__next__)
         split: list[np.ndarray] = []
         held = 0
         for text in texts:
-            split.append(np.fromiter([number.setdefault(p, len(number)) for p in self.pieces(text)] if text else (), np.int32))
+            split.append(np.array(list(map(number.__getitem__, self.pieces(text))) if text else [], np.int32))
             held += len(text or "")
             if held >= _BLOCK_CHARS:
                 out += self._encode_split(number, split)
-                number, split, held = {}, [], 0
+                number, split, held = defaultdict(count().__next__), [], 0
         return out + self._encode_split(number, split)
 
     def _encode_split(self, number: dict[str, int], split: list[np.ndarray]) -> list[bytes]:

@@ -156,6 +156,8 @@ def test_tokens_equal_the_public_library(spark):
     plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
     rng = random.Random(11)
     texts = [None, "", " ", "\n\n  a", "<|endoftext|>", "naïve Ünï 漢字 \U0001f600‍", "a" * 3000, "ab" * 2000, "0123456789 don't we'll", "\x1c\x1d x\x85y z"]
+    texts += ["".join(rng.choices("ab é'sß 1²³½×÷ªºµ\x0b\x1c\x85\xa0 .'ll're\n\t", k=rng.randrange(80))) for _ in range(400)]
+    texts += ["".join(rng.choices("ab é'sßÿſ 1 .'ll'd\n\t\x0b,", k=rng.randrange(80))) for _ in range(400)]
     texts += ["".join(rng.choices("abcdefgh tions éñß,.'1\n　" + chr(rng.randrange(256, 2000)), k=rng.randrange(200))) for _ in range(400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
     coded = docs.withColumn("ids", bpe.encode(F.col("text"), path, pattern)).withColumn("back", bpe.decode(F.col("ids"), path, pattern))
