@@ -29,9 +29,9 @@ from pyspark.sql.functions import arrow_udf
 from .common import values
 
 #: Words whose ids a Python worker keeps, in two generations of which the older goes first.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Texts are split, and their new words replayed together, when they reach so many characters.
-_BLOCK_CHARS = 16_000_000
+_BLOCK_CHARS = 4_000_000
 #: Longer words are replayed one symbol at a time; arrays serve the many short ones.
 _LONG = 200
 
