@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 
 def genotype_index(a: Column, b: Column) -> Column:
@@ -36,6 +38,15 @@ def dosage_text(x: Column) -> Column:
     return F.regexp_replace(F.format_string("%.2f", dosage_rounded(x)), r"\.?0+$", "")
 
 
+def fixed_text(x: Column, places: int) -> Column:
+    """``x`` with fixed decimals, half to even on its exact binary value, which Spark's own formats do not give."""
+
+    def udf(rows: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.{places}f}" for v in rows.to_pylist()], pa.string())
+
+    return arrow_udf(udf, "string")(x.cast("double"))
+
+
 def normalised(p: Column) -> Column:
     total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
     return F.transform(p, lambda x: x / total)

@@ -438,6 +438,27 @@ def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(obs.select("m", "smp"), ["m", "smp"], "left_semi").select("smp", "m", "a1", "a2")
 
 
+_DOSES = r"""doses AS (SELECT m, chrom, pos, smp, hap % 2 AS side, a * (((m + hap) % 4) + 1) / 4.0::DOUBLE AS d FROM gt_ref), pairs AS (
+  SELECT m, chrom, pos, smp, max(d) FILTER (side = 0) AS p1, max(d) FILTER (side = 1) AS p2 FROM doses GROUP BY ALL
+), cells AS (
+  SELECT m, chrom, pos, string_agg((p1 > 0.5)::INT || '|' || (p2 > 0.5)::INT || ':' || SHOWN, chr(9) ORDER BY smp) AS cells FROM pairs GROUP BY ALL
+), spread AS (
+  SELECT m, CASE WHEN s = 0 OR q - s*s/n <= 0 OR s - s*s/n <= 0 THEN 0 ELSE (q - s*s/n) / (s - s*s/n) END AS dr2, s / n AS af FROM (SELECT m, sum(d) AS s, sum(d*d) AS q, count(*) AS n FROM doses GROUP BY m)
+)"""
+_SHOWN = " || ':' || ".join(rf"regexp_replace(printf('%.2f', {x}), '\.?0+$', '')" for x in ("p1 + p2", "p1", "p2"))
+
+
+@query("""SELECT chrom, pos, concat_ws(chr(9), chrom, pos, 'rs' || m, 'A', 'C', '.', 'PASS', 'DR2=' || printf('%.2f', round_even((100::FLOAT * dr2::FLOAT)::DOUBLE, 0) / 100) || ';AF=' || printf('%.4f', af) || CASE WHEN m % 5 = 0 THEN ';END=' || pos + 9 ELSE '' END || CASE WHEN m % 3 <> 0 THEN ';IMP' ELSE '' END, 'GT:DS:AP1:AP2', cells) AS line
+  FROM cells JOIN spread USING (m)""", _DOSES.replace("SHOWN", _SHOWN))
+def imputed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imputed records as text: likelier alleles, doses, and what INFO says of the marker."""
+    ref = views.gt_ref(spark, sf_dir)
+    doses = ref.select("m", "hap", (F.col("a") * ((F.col("m") + F.col("hap")) % 4 + 1) / 4.0).alias("dose"), (F.col("m") % 3 != 0).alias("imputed"))
+    end = F.when(F.col("m") % 5 == 0, (F.col("pos") + 9).cast("string")).otherwise("")
+    marks = views.markers(spark, sf_dir).select("m", "chrom", "pos", F.concat(F.lit("rs"), F.col("m").cast("string")).alias("id"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), end.alias("end"))
+    return files.imputed_lines(marks, doses, ap=True)
+
+
 @query()
 def prefix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.prefix_neighbours(views.gt_ref(spark, sf_dir), ["chrom"])

@@ -189,6 +189,20 @@ def test_vcf_records(spark, tmp_path, suffix):
         files.read_vcf(spark, path, exclude=("s1", "s2", "s3"))
 
 
+def test_imputed_records(spark):
+    marks = spark.createDataFrame([(1, "1", 10, "rs1", "A", "C", "12"), (2, "1", 20, "rs2", "G", "T", ""), (3, "1", 30, "rs3", "G", "T", "")], "m int, chrom string, pos int, id string, ref string, alt string, end string")
+    doses = [(1, 0, 0.5, True), (1, 1, 0.75, True), (1, 2, 0.0, True), (1, 3, 1.0, True), *((2, h, float(h == 3), False) for h in range(4))]
+    rows = files.imputed_lines(marks, spark.createDataFrame(doses, "m int, hap int, dose double, imputed boolean"), ap=True, gp=True)
+    got = {r.pos: r.line.split("\t") for r in rows.collect()}
+    assert sorted(got) == [10, 20]  # a marker without doses has no record
+    assert got[10][:7] == ["1", "10", "rs1", "A", "C", ".", "PASS"] and got[10][8] == "GT:DS:AP1:AP2:GP"
+    s, q, n = 2.25, 0.25 + 0.5625 + 1, 4
+    assert got[10][7] == f"DR2={(q - s * s / n) / (s - s * s / n):.2f};AF=0.5625;END=12;IMP" and got[20][7] == "DR2=1.00;AF=0.2500"
+    assert got[10][9:] == ["0|1:1.25:0.5:0.75:0.12,0.5,0.38", "0|1:1:0:1:0,1,0"] and got[20][9:] == ["0|0:0:0:0:1,0,0", "0|1:1:0:1:0,1,0"]
+    texts = spark.createDataFrame([(0.00015, None)], "a double, b double").select(fn.fixed_text(F.col("a"), 4).alias("a"), fn.fixed_text(F.col("b"), 2).alias("b")).first()
+    assert tuple(texts) == (f"{0.00015:.4f}", None)
+
+
 def test_small_files(spark, tmp_path):
     (tmp_path / "map").write_text("1 . 0.0 100\n1 . 1.5 200\n1 . 1.0 300\n2 . 0 5\n")
     gmap = files.read_map(spark, str(tmp_path / "map"))
