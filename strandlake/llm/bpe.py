@@ -260,13 +260,14 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     """Ids of a text as binary, four little-endian bytes each; empty for null and empty texts.
 
     Each match of ``pattern`` is encoded separately; no special token is recognised.
-    ``path`` must name the same file on every machine.
+    ``path`` must name the same file on every machine. The function is declared as not deterministic,
+    although it is, so that a text is encoded once however often its ids are used.
     """
 
     def udf(texts: pa.Array) -> pa.Array:
         return pa.array(replayer(path, pattern).encode_batch(values(texts)), pa.binary())
 
-    return arrow_udf(udf, "binary")(text)
+    return arrow_udf(udf, "binary").asNondeterministic()(text)
 
 
 def decode(ids: Column, path: str, pattern: str) -> Column:

@@ -55,7 +55,6 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    # not deterministic to the optimiser: texts are encoded once although ids are used three times
     ids = F.expr("ids")
     coded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path, pattern).alias("ids"))
     return coded.select("doc_id", bpe.id_count(ids).alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(bpe.decode(ids, path, pattern), 256).alias("decoded_sha256"))
