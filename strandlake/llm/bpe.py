@@ -280,5 +280,20 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     return arrow_udf(udf, "binary")(ids)
 
 
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """A struct of ``ids``, as :func:`encode` gives them, and ``decoded``, as :func:`decode` gives it from them.
+
+    One call, and so one Python worker with one vocabulary, does both. Null and empty texts have both empty.
+    """
+
+    def udf(texts: pa.Array) -> pa.Array:
+        known = replayer(path, pattern)
+        ids = pa.array(known.encode_batch(values(texts)), pa.binary())
+        decoded = pa.array([known.decode(x) for x in values(ids)], pa.binary())
+        return pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
+
+    return arrow_udf(udf, "ids binary, decoded binary").asNondeterministic()(text)
+
+
 def id_count(ids: Column) -> Column:
     return (F.coalesce(F.octet_length(ids), F.lit(0)) / 4).cast("long")

@@ -55,9 +55,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    ids = F.expr("ids")
-    coded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path, pattern).alias("ids"))
-    return coded.select("doc_id", bpe.id_count(ids).alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(bpe.decode(ids, path, pattern), 256).alias("decoded_sha256"))
+    coded = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), path, pattern).alias("r"))
+    return coded.select("doc_id", bpe.id_count(F.col("r.ids")).alias("n_tokens"), F.sha2("r.ids", 256).alias("ids_sha256"), F.sha2("r.decoded", 256).alias("decoded_sha256"))
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,8 @@ def test_tokens_equal_the_public_library(spark):
     texts += ["".join(rng.choices("abcdefgh tions éñß,.'1\n　" + chr(rng.randrange(256, 2000)), k=rng.randrange(200))) for _ in range(400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
     coded = docs.withColumn("ids", bpe.encode(F.col("text"), path, pattern)).withColumn("back", bpe.decode(F.col("ids"), path, pattern))
+    both = docs.withColumn("r", bpe.round_trip(F.col("text"), path, pattern)).select(docs.columns[0], "r.ids", "r.decoded")
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, coded.select(docs.columns[0], "ids", "back").collect()), key=str)
     for r in coded.collect():
         ids = [int.from_bytes(r.ids[k : k + 4], "little") for k in range(0, len(r.ids), 4)]
         assert ids == plain.encode_ordinary(r.text or ""), r.text
