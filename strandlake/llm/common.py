@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, uid: str) -> DataFrame:
+    """``df`` with an own number for each row, written once to the shared folder and read from there.
+
+    Row numbers depend on how a scan is split, and two scans may be split differently. A
+    decision made on numbers of the written table holds for every later scan of it.
+    """
+    place = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.withColumn(uid, F.monotonically_increasing_id()).write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, in any case of its letters."""
     taken = {c.lower() for c in df.columns}
