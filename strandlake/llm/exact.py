@@ -15,11 +15,11 @@ import hashlib
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import SPACE, checkpointed, fresh, values
+from .common import SPACE, checkpointed, fresh, stored, values
 
 _DROP = SPACE.encode()
 _KEY = ("sha", "chk", "n_bytes")
@@ -35,11 +35,11 @@ def _digest(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(sha, pa.binary()), pa.array(chk, pa.binary()), pa.array(size, pa.int64())], ["sha", "chk", "n_bytes"])
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid: Column | None = None) -> DataFrame:
     """Rows (uid, doc_id, chars, run, sha, chk, n_bytes) of every row of ``docs``."""
     udf = arrow_udf(_digest, "struct<sha:binary,chk:binary,n_bytes:bigint>")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("chars"), F.spark_partition_id().alias("run"), text.cast("binary").alias("raw"))
+    rows = docs.select((F.monotonically_increasing_id() if uid is None else uid).alias("uid"), F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("chars"), F.spark_partition_id().alias("run"), text.cast("binary").alias("raw"))
     return rows.select("uid", "doc_id", "chars", "run", udf("raw").alias("d")).select("uid", "doc_id", "chars", "run", "d.*")
 
 
@@ -52,7 +52,7 @@ def tree_merge(runs: DataFrame, n_runs: int, fan_in: int = 16) -> DataFrame:
     return level.select(*_KEY, F.col("best.i").alias("keep_id"), F.col("best.u").alias("keep_uid"), F.col("n").alias("group_size"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16, uid: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting spaces, tabs and line breaks
@@ -60,17 +60,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest id (a null id comes last); of rows that tie in both (repeated rows) exactly
     one stays. Null counts as the empty text, empty texts are equal to each other, an
     empty table gives no rows. Other columns are ignored, so their names cannot clash.
+    ``uid`` is a column that numbers the rows; without it they are numbered here.
     """
-    rows = checkpointed(digests(docs, id_col, text_col))
+    rows = checkpointed(digests(docs, id_col, text_col, uid))
     groups = tree_merge(rows, max(1, rows.rdd.getNumPartitions()), fan_in)
     return rows.join(groups, list(_KEY)).select("uid", "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    ``docs`` must read the same rows in the same order twice, as a stored table does.
-    """
+    """The rows of ``docs`` that stay, with all their columns."""
     uid = fresh(docs, "uid")
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("uid").alias(uid))
-    return docs.withColumn(uid, F.monotonically_increasing_id()).join(kept, uid, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = stored(docs, uid)
+    kept = exact_groups(rows, id_col, text_col, uid=F.col(uid)).where("kept").select(F.col("uid").alias(uid))
+    return rows.join(kept, uid, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, word_count
+from .common import checkpointed, fresh, stored, word_count
 
 #: A key is made of this many hexadecimal digits of an MD5.
 _DIGITS = 13
@@ -71,10 +71,10 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_epochs:
     return mixed.withColumn("part", F.when(F.col("epochs") < max_epochs, part).otherwise(F.lit(0).cast("long"))).select("uid", "doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
+def with_quality(docs: DataFrame, labels: DataFrame, good: float = 2.0, bad: float = 0.5, uid: Column | None = None) -> DataFrame:
     """uid, doc_id, source, size and the quality weight by label; 1 where there is none, the mean of repeated labels."""
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.avg(F.when(F.col("quality") == 1, good).when(F.col("quality") == 0, bad).otherwise(1.0)).alias("quality"))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", word_count("text").alias("size"))
+    rows = docs.select((F.monotonically_increasing_id() if uid is None else uid).alias("uid"), "doc_id", "source", word_count("text").alias("size"))
     return rows.join(marks, rows.doc_id == marks.id, "left").drop("id")
 
 
@@ -85,7 +85,8 @@ def mix_rows(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame
     its target by less than one document.
     """
     uid, times = fresh(docs, "uid"), fresh(docs, "times")
-    taken = mix_sources(with_quality(docs, labels), **options).withColumn("times", F.col("epochs") + (F.col("part") > 0).cast("long"))
+    rows = stored(docs, uid)
+    taken = mix_sources(with_quality(rows, labels, uid=F.col(uid)), **options).withColumn("times", F.col("epochs") + (F.col("part") > 0).cast("long"))
     taken = taken.where("size > 0 and times > 0").select(F.col("uid").alias(uid), F.col("times").alias(times))
-    mixed = docs.withColumn(uid, F.monotonically_increasing_id()).join(taken, uid)
+    mixed = rows.join(taken, uid)
     return mixed.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(times)).drop(times)

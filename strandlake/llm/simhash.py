@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import checkpointed, components, fresh, values
+from .common import checkpointed, components, fresh, stored, values
 
 SEED = 42
 #: Hashes are added up when so many have gathered.
@@ -116,15 +116,16 @@ def linked_fingerprints(fps: DataFrame) -> DataFrame:
     return ties.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= 2).select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, uid: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, fp and component_id, the smallest id reachable over links.
 
     Texts without words, null included, have fingerprint 0 and are linked like any
     other. Null ids are never the smallest; a group of null ids alone has component null.
     Repeated rows and equal texts share a fingerprint and so a component. Whole texts of
     any length are read. An empty table gives no rows; other columns are ignored.
+    ``uid`` is a column that numbers the rows; without it they are numbered here.
     """
-    rows = checkpointed(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), width).alias("fp")))
+    rows = checkpointed(docs.select((F.monotonically_increasing_id() if uid is None else uid).alias("uid"), F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), width).alias("fp")))
     fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
     roots = components(linked_fingerprints(fps.select("fp")))
     at = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -135,6 +136,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One row of each group of near copies, that with the smallest id (nulls last, then the first row), with all columns."""
     uid = fresh(docs, "uid")
-    first = near_groups(docs, id_col, text_col, width).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("best"))
+    rows = stored(docs, uid)
+    first = near_groups(rows, id_col, text_col, width, F.col(uid)).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("best"))
     kept = first.select(F.col("best.uid").alias(uid))
-    return docs.withColumn(uid, F.monotonically_increasing_id()).join(kept, uid, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(kept, uid, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -66,12 +66,15 @@ def write_archive(pages: DataFrame, place: str, min_bytes: int = 0, date: str =
     page_ids one row. Shorter payloads make responses only. An empty table makes an empty
     archive; other columns are ignored.
     """
-    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
+    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long").alias("page_id"), "url", payload)
     slim = checkpointed(rows.select("uid", "page_id", "url", arrow_udf(_digests, _DIGESTS)("payload").alias("d")).select("uid", "page_id", "url", "d.*"))
     key = ["address", "payload_digest", "payload_bytes"]
     order = F.struct(F.col("page_id").isNull().alias("z"), F.col("page_id").alias("i"), F.col("uid").alias("u"))
     first = slim.groupBy(*key).agg(F.min(order).alias("first"))
-    rows.join(first.select(F.col("first.u").alias("uid"), "address", "payload_bytes"), "uid").select("address", "payload_bytes", "payload").write.parquet(f"{place}/payloads")
+    # by content and not by uid: a second scan may number its rows otherwise
+    again = pages.select(payload).select("payload", F.unhex(F.sha2("payload", 256)).alias("address"), F.length("payload").cast("long").alias("payload_bytes"))
+    again.groupBy("address", "payload_bytes").agg(F.first("payload").alias("payload")).write.parquet(f"{place}/payloads")
     own = (F.col("uid") == F.col("first.u")) | (F.col("payload_bytes") < min_bytes)
     records = slim.join(first, key).select("uid", "page_id", "url", F.when(own, "response").otherwise("revisit").alias("kind"), F.when(~own, F.col("first.i")).alias("refers_to"), *key)
     record = F.concat_ws("/", F.col("page_id").cast("string"), F.col("uid").cast("string"))
