@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -15,23 +16,44 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of texts that a Python worker is sent at a time.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Bounds the Arrow batches of the session to ``rows`` rows, since a text may be long; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``; from here on texts reach Python in short batches."""
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is missing (tests, a laptop), a folder inside the warehouse is used.
+    Where the setting is missing, a local master (tests, a laptop) uses a folder inside the warehouse; on a cluster it is an error.
     """
     context = spark.sparkContext
     if not (path := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
     return path
 
 
+def remove(spark: SparkSession, place: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder; its lineage ends there, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -49,6 +71,17 @@ def stored(df: DataFrame, uid: str) -> DataFrame:
     return df.sparkSession.read.parquet(place)
 
 
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """``rows.join(side, keys)`` for a ``side`` with one row a key, where one key may hold a third of ``rows``.
+
+    ``part`` names the stretch of the input that a row came from, of bounded size. The side's row
+    is first given to each stretch that has its key, so a hot key is dealt out by
+    stretches and no task has all of it.
+    """
+    places = rows.select(*keys, part).distinct().join(side, keys)
+    return rows.join(places, [*keys, part])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, in any case of its letters."""
     taken = {c.lower() for c in df.columns}
