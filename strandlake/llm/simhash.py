@@ -1,14 +1,16 @@
 """Near-duplicate detection by SimHash with a join in the space of segment bit counts.
 
-A fingerprint of 64 bits is cut into 16 segments of 4 bits, and the bits set in each
-segment are counted. The Manhattan distance of two count vectors is never above the
-Hamming distance of the fingerprints. Fingerprints at distance 2 or less therefore meet in a
-grid cell that is at most one step from either vector, so each visits its own cell and the
-neighbours one step away; cells that only one visits are dropped (the range join). In the
-cells that remain the match is made exact: a pair is linked if one flipped bit, or none,
-takes both to the same 64-bit point of that cell, which is so exactly if they differ in
-at most two bits. At most 65 fingerprints share a point; each is tied to the least of
-them, so links stay linear in the rows even where thousands of copies lie together.
+A fingerprint of 64 bits is cut into segments and the bits set in each segment are
+counted. The Manhattan distance of two count vectors is never above the Hamming distance of
+the fingerprints. With 16 segments of 4 bits the vectors span a grid: fingerprints at
+distance 2 or less meet in a cell that is at most one step from either vector, so each visits its own
+cell and the neighbours one step away, and a range join pairs those that meet. Such a pair must then
+pass the tighter bound of 32 segments of 2 bits, and last its exact distance.
+
+In a cell with very many visitors (thousands of near copies) pairs are not made: a pair is linked
+there if one flipped bit, or none, takes both to the same 64-bit point of that cell, which
+is so exactly if they differ in at most two bits. At most 65 fingerprints share a point; each is tied to the least of
+them, so links stay linear in the rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import checkpointed, components, fresh, stored, values
+from .common import checkpointed, components, fresh, spread_join, stored, values
 
 SEED = 42
 #: Hashes are added up when so many have gathered.
@@ -94,15 +96,37 @@ def segment_counts(fp: Column) -> Column:
     return two.bitwiseAND(pair) + F.shiftrightunsigned(two, 2).bitwiseAND(pair)
 
 
-def linked_fingerprints(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fps(fp)`` that make the same groups as all pairs at distance 2 or less."""
+def sorted_pairs(fp: Column) -> Column:
+    """The bits set in each of 32 segments of 2 bits, each count n written as n ones, so that counts differ by as many bits as their distance."""
+    odd, beside = F.lit(0x5555555555555555), F.shiftrightunsigned(fp, 1)
+    return fp.bitwiseOR(beside).bitwiseAND(odd).bitwiseOR(F.shiftleft(fp.bitwiseAND(beside).bitwiseAND(odd), 1))
+
+
+def bits_apart(left: str, right: str) -> Column:
+    return F.bit_count(F.col(left).bitwiseXOR(F.col(right)))
+
+
+def grid_visits(fps: DataFrame) -> DataFrame:
+    """(fp, v, cell, n): the cells of the count grid that each of ``fps(fp)`` visits, those with two visitors or more, and their number."""
     counts = F.col("v")
     step = lambda i: F.lit(1 << (4 * i))
     field = lambda i: F.shiftrightunsigned(counts, 4 * i).bitwiseAND(F.lit(7))
     around = [counts, *(F.when(field(i) < 4, counts + step(i)) for i in range(16)), *(F.when(field(i) > 0, counts - step(i)) for i in range(16))]
     visits = fps.select("fp", segment_counts(F.col("fp")).alias("v")).select("fp", "v", F.explode(F.array(*around)).alias("cell")).where("cell is not null")
-    busy = visits.groupBy(F.col("cell").alias("c")).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("c")
-    met = visits.join(busy, visits.cell == busy.c, "left_semi").withColumn("d", F.col("cell") - F.col("v"))
+    busy = visits.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("n")).where("n > 1")
+    return visits.join(busy, visits.cell == busy.c).drop("c")
+
+
+def cell_pairs(visits: DataFrame) -> DataFrame:
+    """(a, b, bound, apart): pairs a < b that meet in a cell, their Manhattan distance over 32 segments and their Hamming distance. A pair may meet in several cells."""
+    own = visits.select("cell", "fp", sorted_pairs(F.col("fp")).alias("u"))
+    left, right = (own.select("cell", F.col("fp").alias(c), F.col("u").alias(f"u{c}")) for c in "ab")
+    return left.join(right, "cell").where("a < b").select("a", "b", bits_apart("ua", "ub").alias("bound"), bits_apart("a", "b").alias("apart"))
+
+
+def point_ties(visits: DataFrame) -> DataFrame:
+    """(a, b): each fingerprint of ``visits`` tied to the least of those that share a point one flipped bit away, within a cell."""
+    met = visits.withColumn("d", F.col("cell") - F.col("v"))
     size = F.abs("d")
 
     def flip(j: int) -> Column:
@@ -112,8 +136,19 @@ def linked_fingerprints(fps: DataFrame) -> DataFrame:
 
     points = met.select("fp", F.explode(F.array(F.when(F.col("d") == 0, F.col("fp")), *map(flip, range(4)))).alias("point")).where("point is not null")
     least = F.min("fp").over(Window.partitionBy("point"))
-    ties = points.select("fp", least.alias("low")).where("fp <> low")
-    return ties.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= 2).select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    return points.select(F.col("fp").alias("a"), least.alias("b")).where("a <> b")
+
+
+def linked_fingerprints(fps: DataFrame, most: int = 64, distance: int = 2) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fps(fp)`` that make the same groups as all pairs at ``distance`` 2 (or less) apart.
+
+    Cells with up to ``most`` visitors are joined; the others are split into points. No cell is
+    capped: either way finds every link of its visitors.
+    """
+    visits = checkpointed(grid_visits(fps))
+    near = cell_pairs(visits.where(F.col("n") <= most)).where((F.col("bound") <= distance) & (F.col("apart") <= distance)).select("a", "b")
+    dense = point_ties(visits.where(F.col("n") > most)).where(bits_apart("a", "b") <= distance)
+    return near.unionByName(dense).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, uid: Column | None = None) -> DataFrame:
@@ -125,12 +160,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     any length are read. An empty table gives no rows; other columns are ignored.
     ``uid`` is a column that numbers the rows; without it they are numbered here.
     """
-    rows = checkpointed(docs.select((F.monotonically_increasing_id() if uid is None else uid).alias("uid"), F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), width).alias("fp")))
+    rows = checkpointed(docs.select((F.monotonically_increasing_id() if uid is None else uid).alias("uid"), F.col(id_col).alias("doc_id"), F.spark_partition_id().alias("part"), fingerprint(F.col(text_col), width).alias("fp")))
     fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
     roots = components(linked_fingerprints(fps.select("fp")))
     at = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = at.groupBy(F.col("root").alias("r")).agg(F.min("low_id").alias("component_id"))
-    return rows.join(at.join(least, at.root == least.r).select("fp", "component_id", "root"), "fp").select("uid", "doc_id", "fp", "component_id", "root")
+    return spread_join(rows, at.join(least, at.root == least.r).select("fp", "component_id", "root"), ["fp"], "part").select("uid", "doc_id", "fp", "component_id", "root")
 
 
 def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

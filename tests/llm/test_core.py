@@ -8,8 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, exact, mixing, simhash, toxicity
-from strandlake.llm.common import components, crc_fold_py
+from strandlake.llm import bpe, exact, mixing, simhash
+from strandlake.llm.common import components
 from strandlake.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -78,6 +78,40 @@ def test_near_links_of_dense_fingerprints(spark):
     assert [got.get(s, s) for s in signed] == [least[r] for r in root]
 
 
+@pytest.mark.parametrize("most", [0, 3, 64])
+def test_grid_bound_and_check_reject(spark, most):
+    """Pairs that meet in a cell: the tighter bound rejects some, the exact distance more, and neither a true link; dense cells give the same groups."""
+    rng = random.Random(9)
+    fps = {rng.getrandbits(64) for _ in range(40)}
+    for seed in list(fps):
+        for _ in range(12):
+            at = seed
+            for bit in rng.sample(range(64), rng.randrange(1, 5)):
+                at ^= 1 << bit
+            fps.add(at)
+        # moved inside a segment: the same counts, other bits
+        fps.add(seed ^ 0b0110 if seed & 6 in (2, 4) else seed ^ 0b1001)
+    fps = sorted(fps)
+    signed = {f - (1 << 64) * (f >> 63): f for f in fps}
+    frame = spark.createDataFrame([(s,) for s in signed], "fp long")
+    pairs = {(r.a, r.b): (r.bound, r.apart) for r in simhash.cell_pairs(simhash.grid_visits(frame)).collect()}
+    coarse = lambda f: [(f >> k & 15).bit_count() for k in range(0, 64, 4)]
+    fine = lambda f: [(f >> k & 3).bit_count() for k in range(0, 64, 2)]
+    far = lambda x, y: sum(abs(p - q) for p, q in zip(x, y, strict=True))
+    want = {(a, b): (far(fine(x), fine(y)), (x ^ y).bit_count()) for a, x in signed.items() for b, y in signed.items() if a < b and far(coarse(x), coarse(y)) <= 2}
+    assert pairs == want
+    by_bound, by_check = sum(m > 2 for m, _ in pairs.values()), sum(m <= 2 < d for m, d in pairs.values())
+    linked = {p for p, (m, d) in pairs.items() if d <= 2}
+    assert by_bound > 10 and by_check > 10 and linked and all(pairs[p][0] <= 2 for p in linked)
+    names = list(signed)
+    root = union_find(len(names), [(names.index(a), names.index(b)) for a, b in linked])
+    got = {r.node: r.root for r in components(simhash.linked_fingerprints(frame, most)).collect()}
+    least = {}
+    for s, r in zip(names, root, strict=True):
+        least[r] = min(s, least.get(r, s))
+    assert [got.get(s, s) for s in names] == [least[r] for r in root]
+
+
 def test_keep_near_leaves_one_of_each_group(spark):
     docs = documents(spark, odd_rows()).coalesce(2)
     groups = {r.root for r in simhash.near_groups(docs).collect()}
@@ -106,6 +140,21 @@ def test_exact_groups(spark, fan_in):
     assert sum(r.kept for r in got) == len(groups)
 
 
+def test_runs_are_sorted_and_merge_in_rounds(spark):
+    """Each round leaves a quarter of the runs, every run sorted and with a text once."""
+    docs = documents(spark, [(i, f"t {i % 7}" if i % 3 else "same", "a") for i in range(400)]).repartition(9)
+    rows = exact.checkpointed(exact.digests(docs))
+    level = exact.sorted_runs(rows)
+    for n_runs in (9, 3, 1):
+        got = [(r.run, bytes(r.sha)) for r in level.collect()]
+        assert len(set(got)) == len(got) and {run for run, _ in got} == set(range(n_runs))
+        parts = level.select(F.spark_partition_id().alias("p"), "run", "sha").collect()
+        assert all((a.run, bytes(a.sha)) < (b.run, bytes(b.sha)) for a, b in zip(parts, parts[1:], strict=False) if a.p == b.p)
+        assert level.agg(F.sum("n")).first()[0] == 400
+        level = exact._merged(level.withColumn("run", F.floor(F.col("run") / 3).cast("int")).repartition("run", "cut"))
+    assert {(r.keep_id, r.group_size) for r in exact.tree_merge(exact.sorted_runs(rows), 9, 3).collect()} == {(r.keep_id, r.group_size) for r in exact.exact_groups(docs).collect()}
+
+
 def test_keep_exact_keeps_clashing_columns(spark):
     docs = documents(spark, odd_rows()).withColumns({"uid": F.lit("x"), "kept": F.lit(1), "Best": F.lit(2)})
     kept = exact.keep_exact(docs)
@@ -191,29 +240,16 @@ def toxic_rows(n=600):
         yield i, " ".join(words), y
 
 
-def test_toxicity_learns_and_ignores_neutral_mentions(spark):
-    rows = list(toxic_rows())
-    docs = documents(spark, [(i, t, "a") for i, t, _ in rows] + [(9999, None, None), (None, "", "b")])
-    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(9999, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    model = toxicity.train(docs, labels)
-    held = [(model.score(t) >= 0.5, y) for i, t, y in rows if crc_fold_py(i) == 0]
-    assert sum(p == bool(y) for p, y in held) / len(held) > 0.95
-    plain = toxicity.fit([(toxicity.words_of(t), y) for _, t, y in rows], swap_penalty=0.0)
-    strict = toxicity.fit([(toxicity.words_of(t), y) for _, t, y in rows], swap_penalty=5.0)
-    swing = lambda m: abs(m.weights.get("muslims", 0) - m.weights.get("jews", 0))
-    assert swing(strict) < 0.3 * swing(plain)
-    kept = toxicity.keep_clean(docs, labels)
-    assert kept.columns == docs.columns and {9999, None} <= {r.doc_id for r in kept.collect()}
-
-
-def test_toxicity_without_labels(spark):
-    docs = documents(spark, [(1, "a b", "s")])
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert toxicity.train(docs, labels).score("x") == 0.5
-    assert toxicity.train(docs.limit(0), labels).score(None) == 0.5
+def test_clashing_columns(spark):
+    """Columns named like those that operators make are carried through or ignored."""
+    docs = documents(spark, odd_rows()).withColumns({c: F.lit("x") for c in ("uid", "fp", "part", "run", "sha", "node", "root", "cell", "n")})
+    assert simhash.near_groups(docs).count() == exact.exact_groups(docs).count() == len(odd_rows())
+    assert simhash.keep_near(docs).columns == exact.keep_exact(docs).columns == docs.columns
 
 
 def test_empty_tables(spark):
     none = documents(spark, [])
     path, pattern = vocabulary()
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert mixing.mix_sources(mixing.with_quality(none, labels)).count() == 0
     assert simhash.near_groups(none).count() == exact.exact_groups(none).count() == none.select(bpe.encode(F.col("text"), path, pattern)).count() == 0
