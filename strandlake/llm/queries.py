@@ -60,7 +60,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+    return url_rules.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
