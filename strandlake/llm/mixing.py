@@ -38,6 +38,17 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_epo
     return fits.withColumn("level", F.min_by("level", "at").over(everything)).select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
+def running_sums(sums: DataFrame, per_stretch: int) -> DataFrame:
+    """Adds ``before`` to ``sums(source, bucket, sum)``: what the source's earlier buckets hold, over stretches of ``per_stretch`` buckets first."""
+    upto = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda name, *keys: F.coalesce(F.sum(name).over(upto(*keys)), F.lit(0))
+    sums = sums.withColumn("stretch", F.floor(F.col("bucket") / per_stretch))
+    whole = sums.groupBy("source", "stretch").agg(F.sum("sum").alias("all")).select(F.col("source").alias("_s"), F.col("stretch").alias("_t"), earlier("all", "source", "stretch").alias("_before"))
+    inside = sums.withColumn("_inside", earlier("sum", "source", "stretch", "bucket"))
+    both = inside.join(whole, F.col("source").eqNullSafe(F.col("_s")) & (F.col("stretch") == F.col("_t")))
+    return both.select("source", "bucket", (F.col("_before") + F.col("_inside")).alias("before"))
+
+
 def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7, rows_per_bucket: int = 1024) -> DataFrame:
     """How many words of each document a mix takes.
 
@@ -45,8 +56,8 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_epochs:
     target, epochs (whole passes), part (words of the last, fractional pass) and
     taken = epochs * size + part. Within a source documents are ordered by their key and
     their sizes summed; the fractional pass takes them until its budget is used, so at
-    most one document of a source is cut. Sums run in two levels, over buckets of keys
-    and inside a bucket, so that a source with a third of all rows is dealt out.
+    most one document of a source is cut. Sums run in three levels, over stretches of
+    buckets, over buckets of keys and inside a bucket, so that a source with a third of all rows is dealt out.
 
     Null quality weighs 1, weights are held above one millionth. Null ids and sources
     are ordinary values (null sources form one source, the last); ties of a key go by
@@ -59,9 +70,7 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_epochs:
     rows = rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     sizes = source_targets(sums.groupBy("source").agg(F.sum("sum").alias("source_size")), cycle, max_epochs)
-    before = F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("before", before)
-    plan = sums.join(sizes.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target")
+    plan = running_sums(sums, rows_per_bucket).join(sizes.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target")
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("budget", F.greatest(F.round("target").cast("long") - F.col("epochs") * F.col("source_size"), F.lit(0)))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import SPACE, values
+from .common import SPACE, checkpointed, crc_fold, values
 
 _SPACE = SPACE.encode()
 _SYMBOLS = b"#*$%&|<>"
@@ -195,15 +195,22 @@ def grow(x: np.ndarray, y: np.ndarray, signs: tuple[int, ...], trees: int = 60,
     return Forest(stack("feature", np.int64), stack("threshold", float), stack("left", np.int64), stack("right", np.int64), stack("value", float), base, depth)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, **options: float) -> Forest:
-    """Fits to at most ``max_rows`` labelled rows, those whose id hashes lowest; only their counts reach the driver.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, held_out_fold: int | None = None, folds: int = 5, **options: float) -> Forest:
+    """Fits to at most ``max_rows`` labelled texts, those whose id hashes lowest; only their counts reach the driver.
 
-    Rows with a null id, text or label are left out; of repeated labels the lowest counts.
+    Ids are chosen among those that have a text. Rows with a null id, text or label are
+    left out; of repeated labels the lowest counts, of repeated ids the text that hashes
+    lowest. With ``held_out_fold`` the rows of that fold (crc32 of the id as text) are not read.
     """
-    marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").cast("int").alias("y"))
-    chosen = marked.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    rows = docs.where("text is not null").select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id")).orderBy(F.xxhash64("id"), "id", "text").limit(max_rows)
-    got = rows.select(text_counts(F.col("text")).alias("c"), "y").select("c.*", "y").collect()
+    marked = labels.where("doc_id is not null and quality is not null")
+    if held_out_fold is not None:
+        marked = marked.where(crc_fold("doc_id", folds) != held_out_fold)
+    marked = marked.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").cast("int").alias("y"))
+    texts = docs.where("text is not null").select("doc_id", "text")
+    chosen = checkpointed(marked.join(texts.select("doc_id"), F.col("id") == F.col("doc_id"), "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_rows))
+    # chosen has max_rows rows at most
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "y", F.xxhash64("text").alias("h"), text_counts(F.col("text")).alias("c"))
+    got = rows.groupBy("id").agg(F.min(F.struct("h", "y", "c")).alias("s")).select("id", "s.y", "s.c.*").orderBy("id").collect()
     counts = np.array([[r[c] for c in COUNTS] for r in got], np.int64).reshape(-1, len(COUNTS))
     return grow(features(counts), np.array([r.y for r in got], float), tuple(s for _, s in FEATURES), **options)
 

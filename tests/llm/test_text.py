@@ -2,11 +2,15 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
+import textwrap
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strandlake.llm import licences, pii, quality, queries, url_rules, warc
@@ -43,8 +47,14 @@ def test_archive_min_bytes_and_damage(spark):
     pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbbbbb"), (4, "u", "bbbbbb")], "page_id long, url string, html string")
     records = warc.archive_round_trip(pages, min_bytes=5)
     assert [r.record_type for r in warc.parse_records(records).orderBy("page_id").collect()] == ["response"] * 3 + ["revisit"]
+    changed = lambda old, new: records.withColumn("record", F.replace(F.col("record").cast("string"), F.lit(old), F.lit(new)).cast("binary"))
     with pytest.raises(Exception, match="does not match its digest"):
-        warc.parse_records(records.withColumn("payload", F.lit(b"x"))).collect()
+        warc.parse_records(changed("bbbbbb", "bbbbbc")).collect()
+    with pytest.raises(Exception, match="not framed by its Content-Length"):
+        warc.parse_records(changed("bbbbbb", "bbbbbbb")).collect()
+    with pytest.raises(Exception, match="does not match its digest"):
+        # a revisit that states another digest than the record it refers to
+        warc.parse_records(records.withColumn("record", F.when(F.col("kind") == "revisit", F.regexp_replace(F.col("record").cast("string"), "sha1:.", "sha1:_").cast("binary")).otherwise(F.col("record")))).collect()
 
 
 def plain_spans(text):
@@ -76,8 +86,13 @@ def test_long_texts_stay_linear():
 
 
 @pytest.fixture(scope="module")
-def tagger():
-    return pii.fit(pii.made_samples())
+def corpus(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def tagger(corpus):
+    return pii.train(corpus)
 
 
 def test_tagger_learns_spans(tagger):
@@ -85,7 +100,54 @@ def test_tagger_learns_spans(tagger):
     tags = tagger.decode(np.stack([pii.classes(t.ljust(pii.WINDOW, "\0")) for t, _ in held]))
     want = np.stack([pii.tags_of(s, 0, pii.WINDOW) for _, s in held])
     inside = want > 0
-    assert (tags[inside] == want[inside]).mean() > 0.85 and (tags[~inside] > 0).mean() < 0.03
+    assert (tags[inside] == want[inside]).mean() > 0.9 and (tags[~inside] > 0).mean() < 0.02
+
+
+def held_out(texts, fold=0, folds=5):
+    signed = lambda t: (lambda h: h - (1 << 64) * (h >> 63))(xxhash.xxh64_intdigest(t.encode(), 42))
+    return [t for t in texts if t and signed(t) % folds == fold]
+
+
+def test_tagger_adds_spans_to_held_out_documents(tagger, corpus):
+    """Values in forms that the patterns miss, planted in documents that training never reads: precision and recall."""
+    texts = [pii.planted(t, 1000 + i) for i, t in enumerate(held_out(r.text for r in corpus.select("text").collect()))]
+    assert not any(set(pii.base_spans(t)) & set(s) for t, s in texts)
+    wanted = found = right = 0
+    for (_, spans), got in zip(texts, pii.find_all([t for t, _ in texts], tagger), strict=True):
+        added = {s[:3] for s in got if not s[3]}
+        wanted, found, right = wanted + len(spans), found + len(added), right + len(added & set(spans))
+    assert wanted > 100 and right / wanted > 0.9 and right / found > 0.95
+
+
+def test_tagger_leaves_clean_documents_alone(tagger, corpus):
+    """The corpus itself has no values but those of the patterns."""
+    got = pii.find_all([r.text for r in corpus.select("text").collect()], tagger)
+    assert sum(not s[3] for spans in got for s in spans) <= 2
+
+
+def test_long_spans_are_not_cut():
+    """A span longer than a window is read again in wider ones; tags are those of a model that marks runs of digits."""
+
+    class Marker:
+        def decode(self, x):
+            inside = x == pii._DIGIT
+            first = inside & ~np.pad(inside, ((0, 0), (1, 0)))[:, :-1]
+            return np.where(first, 5, np.where(inside, 6, 0))
+
+    for a, n in ((0, 10), (40, 70), (31, 33), (100, 1000), (5, 64), (0, 300)):
+        text = "x" * a + "1" * n + "y" * 50
+        cuts = [(s, min(s + pii.WINDOW, len(text))) for s in pii.windows(text)]
+        assert pii._widened(text, cuts, Marker()) >= {("card", a, a + n)}
+
+
+def test_pattern_spans_are_never_touched(tagger, monkeypatch):
+    """A long pattern span covers added ones however many short ones begin after it."""
+    text = "a1" * 20 + "@" + "1.1." * 30 + "com"
+    monkeypatch.setattr(pii, "base_spans", lambda t: [("email", 0, len(t)), *(("ip", i, i + 1) for i in range(5, 60, 3))])
+    monkeypatch.setattr(pii, "valid", lambda kind, t: True)
+    monkeypatch.setattr(pii, "reconcile", lambda spans: [("phone", 80, 90), ("card", len(text) + 2, len(text) + 8)])
+    got = pii.find_all([text + "  123456789"], tagger)[0]
+    assert [s for s in got if not s[3]] == []
 
 
 def test_gradients_match_differences():
@@ -134,10 +196,11 @@ def test_pii_query(spark, tmp_path):
 
 
 def test_url_rules(spark):
-    urls = ["http://A.Example.COM/en/7x?q", "https://x.com/en/", "com/en/", None, "", "ftp://net/de/1#f", "http://example.net/de/8", "http://notexample.net/de/8", "http://org?x/es/", "http://b.org/es/a?b", "http://x.com/en", "a://b://c/d", "http://com/en/\nx"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit(1), "id": F.lit(0)})
-    labels = spark.createDataFrame([], LABELS)
-    got = {r.page_id: r for r in url_rules.judge(pages, labels).collect()}
+    urls = ["http://A.Example.COM/en/7x?q", "https://x.com/en/", "com/en/", None, "", "ftp://net/de/1#f", "http://example.net/de/8", "http://notexample.net/de/8", "http://org?x/es/", "http://b.org/es/a?b", "http://x.com/en", "a://b://c/d", "http://com/en/\nx", "http://x.org/es/" + "y/" * 50_000]
+    pages = spark.createDataFrame(list(enumerate(urls)) * 2, "page_id long, url string").withColumns({c: F.lit(0) for c in ("host", "id", "uid", "token", "tokens", "verdict", "key")})
+    rows = url_rules.judge(pages).collect()
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == 2 * len(urls)
     for i, url in enumerate(urls):
         host = path = ""
         if url and "://" in url:
@@ -149,39 +212,76 @@ def test_url_rules(spark):
         best = max(fits, key=lambda r: len(r.name), default=None)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, best and best.name), url
         assert got[i].verdict == (best.verdict if best else "allow")
-    assert url_rules.judge(pages.limit(0), labels).count() == 0
+    assert url_rules.judge(pages.limit(0)).count() == 0
 
 
-def test_mined_rules(spark):
+@pytest.mark.parametrize("max_items", [2, 8])
+def test_mined_rules_equal_brute_force(spark, max_items):
     rng = random.Random(1)
     rows = []
     for i in range(400):
         words = rng.sample(["news", "casino", "win", "shop", "blog", "cats", "free"], 3)
-        rows.append((i, f"https://{words[0]}.{words[1]}.site/{words[2]}/{i}"))
-    bad = {i for i, u in rows if "casino" in u and "win" in u}
-    labels = spark.createDataFrame([(i, 0 if i in bad else 1, 0) for i, _ in rows if i % 2], LABELS)
+        rows.append((i, f"https://www.{words[0]}.{words[1]}.site/{words[2]}/{i}"))
+    bad = {u for i, u in rows if "casino" in u and ("win" in u or "free" in u)}
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    tokens = pages.select("page_id", url_rules.url_tokens(F.col("url")).alias("tokens"))
-    labelled = tokens.join(labels, tokens.page_id == labels.doc_id).select("tokens", F.when(F.col("quality") == 0, "block").otherwise("allow").alias("verdict"))
-    rules = url_rules.mine_rules(labelled, min_rows=5).collect()
-    sample = labelled.collect()
-    for r in rules:
-        having = [s.verdict for s in sample if set(r.tokens) <= set(s.tokens)]
-        assert r.confidence == pytest.approx(having.count(r.verdict) / len(having)) and r.confidence >= 0.8
-        assert r.support == pytest.approx(having.count(r.verdict) / len(sample))
-    got = {r.page_id: r.verdict for r in url_rules.judge(pages, labels, min_rows=5).collect()}
+    labels = spark.createDataFrame([(u, "block" if u in bad else "allow") for i, u in rows if i % 2] + [(rows[0][1], None), (None, "block")], "url string, verdict string")
+    sample = [(frozenset(re.findall("[a-z]+", u.split("://")[1])), "block" if u in bad else "allow") for i, u in rows if i % 2]
+    having = lambda s: [v for t, v in sample if s <= t]
+    rules = url_rules.mine_rules(url_rules.parsed(pages, labels).select("uid", "tokens", F.col("marked").alias("verdict")), min_rows=5, max_items=max_items).collect()
+    got = {(frozenset(r.tokens), r.verdict): (r.confidence, r.support) for r in rules}
+    names = sorted(set().union(*(t for t, _ in sample)))
+    want = {}
+    for size in range(1, 6):
+        for s in map(frozenset, itertools.combinations(names, size)):
+            told = having(s)
+            # tokens that stand in the same URLs are one
+            full = frozenset(s | {n for n in names for t in s if having(frozenset([n])) == having(frozenset([t])) and {x for x, _ in sample if n in x} == {x for x, _ in sample if t in x}})
+            for v in url_rules.VERDICTS:
+                hits, share = told.count(v), sum(x == v for _, x in sample) / len(sample)
+                if hits >= 5 and hits / len(told) >= 0.8 and hits / len(told) > share:
+                    want[full, v] = (hits / len(told), hits / len(sample))
+    complete = {k: v for k, v in want.items() if max_items == 8 or len(k[0] - {"www", "site"}) + bool(k[0] & {"www", "site"}) <= 2}
+    assert {k: pytest.approx(v) for k, v in got.items()} == {k: v for k, v in want.items() if k in got}
+    assert complete.keys() <= got.keys()
+    judged = {r.page_id: (r.verdict, r.mined_rule) for r in url_rules.judge(pages, labels, min_rows=5, max_items=max_items).collect()}
     order = lambda r: (r.confidence, r.support, r.verdict == "block")
-    for t in tokens.collect():
-        fits = [r for r in rules if set(r.tokens) <= set(t.tokens)]
-        assert got[t.page_id] == (max(fits, key=order).verdict if fits else "allow")
-    assert all(got[i] == "block" for i in bad)
+    for i, u in rows:
+        fits = [r for r in rules if set(r.tokens) <= set(re.findall("[a-z]+", u.split("://")[1]))]
+        assert judged[i][0] == (max(fits, key=order).verdict if fits else "allow")
+    assert all(judged[i][0] == "block" for i, u in rows if u in bad)
+
+
+def test_templates_do_not_explode(spark):
+    """Forty URLs of one template of 24 tokens, and 60 with 24 tokens that come and go: few rules, in short time."""
+    rng = random.Random(2)
+    words = [f"t{chr(97 + i)}x" for i in range(24)]
+    urls = [(i, "http://" + "/".join([*words, f"n{i}"])) for i in range(40)]
+    urls += [(100 + i, "http://" + "/".join(w + "y" for w in words if rng.random() < 0.95)) for i in range(60)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(u, "block" if i < 100 else "allow") for i, u in urls], "url string, verdict string")
+    rules = url_rules.mine_rules(url_rules.parsed(pages, labels).select("uid", "tokens", F.col("marked").alias("verdict"))).collect()
+    assert 0 < len(rules) < 5000
+    assert any(set(r.tokens) == set(words) and r.verdict == "block" for r in rules)
+
+
+def test_mined_rules_on_held_out_labels(spark):
+    """URLs that an explicit rule decides, a fifth of them held out: mined rules match all of them and are right far oftener than the commoner verdict."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = url_rules.parsed(pages).select("uid", "tokens", F.col("marked").alias("verdict"))
+    r = url_rules.held_out_figures(rows).first()
+    share = {x.verdict: x["count"] for x in rows.where("verdict is not null").groupBy("verdict").count().collect()}
+    assert r.labelled > 100 and r.matched / r.labelled > 0.9
+    assert r.right / r.matched > 0.8 and r.right / r.matched > max(share.values()) / sum(share.values()) + 0.1
+    judged = url_rules.judge(pages).where("rule is null")
+    assert judged.where("mined_rule is not null").count() > 0.3 * judged.count()
 
 
 def plain_counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-    hit = {k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(i, i + 5)}
+    times = Counter(windows)
+    hit = {k for i, w in enumerate(windows) if times[w] > 1 for k in range(i, i + 5)}
     lines = text.split("\n")
     dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines))
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit)
@@ -197,7 +297,7 @@ def test_counts_equal_brute_force(spark, monkeypatch):
     texts = quality_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(3)
     for r in docs.select("text", quality.text_counts(F.col("text")).alias("c")).collect():
-        assert tuple(r.c)[:5] == plain_counts(r.text) if len(r.text or "") < 5000 else True
+        assert tuple(r.c)[:5] == plain_counts(r.text)
     monkeypatch.setattr(quality, "_BLOCK", 50)
     short = [t for t in texts if len(t or "") < 5000]
     assert [tuple(c[:5]) for c in quality.count_all(short)] == [plain_counts(t) for t in short]
@@ -231,31 +331,92 @@ def test_quality_keeps_clean_documents(spark):
     assert quality.judge_quality(docs.limit(0), quality.train(docs.limit(0), labels)).count() == 0
 
 
-def test_licences_equal_brute_force(spark):
-    filler = "lorem ipsum dolor sit amet consectetur " * 30
-    rows = [(i, t) for i, t in enumerate([None, "", filler, filler + "\nReleased under the MIT License.\n" + filler, filler + " Licensed under the Apache License, Version 2.0. " + filler, "no license here for anything else at all in this line", "This work is licensed under the GNU General Public License, version 3.", "LICENSED UNDER CC BY-NC 4.0.", "RELEASED!! UNDER!! THE!! MIT!! LICENSE.!!"])]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
-    index = licences.corpus_index(docs)
-    having = {t: sum(t in set(re.findall("[a-z0-9]+", (x or "").lower())) for _, x in rows) for t in licences.TERMS}
-    idf = lambda t: 1 + np.log((len(rows) + 1) / (having[t] + 1)) if t in having else 1.0
-    assert all(index.idf[t] == pytest.approx(idf(t)) for t in licences.TERMS)
+def plain_cosine(idf, a, b):
+    terms = sorted(set(a) | set(b))
+    u, v = (np.array([c.count(t) * idf(t) for t in terms]) for c in (a, b))
+    return u @ v / np.sqrt(u @ u * (v @ v))
 
-    def cosine(a, b):
-        terms = sorted(set(a) | set(b))
-        u, v = (np.array([c.count(t) * idf(t) for t in terms]) for c in (a, b))
-        return u @ v / np.sqrt(u @ u * (v @ v))
 
-    for _, text in rows:
-        scores = [(cosine(p, licences.tokens(t)), -k) for p in licences.passages(text) for k, (_, t) in enumerate(licences.TEMPLATES)]
-        name, score = index.best(text)
-        assert score == pytest.approx(max(scores)[0] if scores else 0.0) or score == 0.0 >= max(scores)[0]
-    told = [index.best(t) for _, t in rows]
-    assert [n for n, s in told if s >= 0.75] == ["MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "MIT"]
+def licence_rows():
+    filler = "lorem ipsum dolor sit amet consectetur " * 30
+    mit, bsd = licences.BODIES[0][1], licences.BODIES[1][1]
+    texts = [
+        ("a/x.py", None), ("a/y.py", ""), ("a/z.py", filler), ("b/x.py", filler + "\nReleased under the MIT License.\n" + filler), ("b/c/y.py", filler + " Licensed under the Apache License, Version 2.0. " + filler),
+        ("LICENSE", "no license here for anything else at all in this line"), ("q/1", "This work is licensed under the GNU General Public License, version 3."), ("q/2", "LICENSED UNDER CC BY-NC 4.0."), ("q/3", "RELEASED!! UNDER!! THE!! MIT!! LICENSE.!!"),
+        ("m/LICENSE.txt", mit.replace("Copyright (c)", "Copyright (c) 2020 Some One")), ("m/src/deep/x.c", "int x;"), ("m/src/LICENCE", bsd.replace(". ", ".\n")), ("m/src/y.c", "int y;"), ("m/COPYING.md", "see LICENSE.txt"), ("n/notes", mit), ("m/long.c", "word " * 20_000),
+        ("g/COPYING", licences.BODIES[4][1] + " Preamble " + filler * 20), ("g/a.c", "x"), ("top", "plain"), (None, "Licensed under CC BY 4.0."), ("b/x.py", filler + "\nReleased under the MIT License.\n" + filler),
+    ]
+    return [(i, p, t) for i, (p, t) in enumerate(texts)]
+
+
+def plain_scan(rows):
+    """Cosines of dense vectors, and a walk up the directories for each file."""
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    having = {t: sum(t in set(words(x)) for _, _, x in rows) for t in licences.TERMS}
+    idf = lambda t: 1 + np.log((len(rows) + 1) / (having[t] + 1)) if t in having else 1.0
+    is_file = lambda p: re.fullmatch(r"(licen[cs]es?|copying|unlicen[cs]e)([-._].*)?", (p or "").split("/")[-1], re.I)
+    own = []
+    for _, path, text in rows:
+        tried = [(plain_cosine(idf, p, words(t)), -k, name) for p in licences.passages(text) for k, (name, t) in enumerate(licences.TEMPLATES)]
+        if is_file(path) and words(text):
+            for size in {len(words(text)), *(len(words(t)) for _, t in licences.BODIES)}:
+                tried += [(plain_cosine(idf, words(text)[:size], words(t)), -100 - k, name) for k, (name, t) in enumerate(licences.BODIES)]
+        best = max(tried, default=(0.0, 0, None))
+        own.append((best[2], best[0]) if best[0] >= 0.75 else (None, 0.0))
+    told = {}
+    for (i, path, _), (name, score) in zip(rows, own, strict=True):
+        if name and is_file(path):
+            at = (path or "").rpartition("/")[0]
+            told[at] = min(told.get(at, (1, "", 0, "")), (-round(score, 9), path, i, name))
+    out = {}
+    for (i, path, _), (name, _) in zip(rows, own, strict=True):
+        at, found = (path or "").rpartition("/")[0], None
+        while name is None and found is None:
+            found = at if at in told else None
+            if at == "":
+                break
+            at = at.rpartition("/")[0]
+        out[i] = (name or (told[found][3] if found is not None else None), found)
+    return out
+
+
+def test_scan_equals_brute_force(spark):
+    rows = licence_rows()
+    docs = spark.createDataFrame([(i, t, p) for i, p, t in rows], "doc_id long, text string, path string").withColumns({c: F.lit(1) for c in ("uid", "dir", "part", "own", "at", "n")}).repartition(3)
+    got = {r.doc_id: (r.licence, r.licence_dir) for r in licences.scan(docs, F.col("path")).collect()}
+    assert got == plain_scan(rows)
+    assert got[10] == ("BSD-3-Clause", "m/src") and got[15] == ("MIT", "m") and got[17] == ("GPL-3.0", "g") and got[18] == (None, None)
+    assert licences.scan(docs.limit(0), F.col("path")).count() == 0
+
+
+def test_corpus_inherits_nothing(spark, corpus):
+    """Documents have no paths, so only their own notices count."""
+    rows = licences.scan(corpus, licences.corpus_path()).collect()
+    assert len(rows) == corpus.count() and all(r.licence == r.own_licence and r.licence_dir is None for r in rows)
+    notice = re.compile("License, version 3|CC BY-NC 4.0|MIT License|Apache License, Version 2.0", re.I)
+    assert {r.doc_id for r in rows if r.licence} == {r.doc_id for r in corpus.collect() if notice.search(re.sub(r"[^\w\s.,-]", "", r.text or ""))}
+
+
+def test_notices_are_found_wherever_they_stand(spark, corpus):
+    """Recall of the passages: each notice planted in documents, on one line, in the middle of a line and wrapped."""
+    texts = [r.text for r in corpus.select("text").limit(200).collect() if r.text and len(r.text.split()) > 40]
+    index, lost = licences.corpus_index(corpus), []
+    rng = random.Random(3)
+    for k, (name, notice) in enumerate(licences.TEMPLATES):
+        for width in (0, 40, 72):
+            for text in rng.sample(texts, 6):
+                words = text.split(" ")
+                at = rng.randrange(len(words))
+                shown = f" {notice} " if not width else "\n" + "\n".join(f"# {x}" for x in textwrap.wrap(notice, width)) + "\n"
+                found = index.best(" ".join(words[:at]) + shown + " ".join(words[at:]))
+                if found[0] != name or found[1] < 0.75:
+                    lost.append((k, width, found))
+    assert len(lost) <= 0.1 * 18 * len(licences.TEMPLATES), lost
 
 
 def test_nearest_directory(spark):
-    rows = [(1, "a/b/c/x.py", None), (2, "a/LICENSE", "MIT"), (3, "a/b/COPYING", "GPL-3.0"), (4, "q/x.py", None), (5, "top", "Apache-2.0"), (6, "a/b/own.py", "BSD-3-Clause"), (7, "", None), (8, "a/z.py", None), (9, "ab/c.py", None)]
+    rows = [(1, "a/b/c/x.py", None), (2, "a/LICENSE", "MIT"), (3, "a/b/COPYING", "GPL-3.0"), (4, "q/x.py", None), (5, "LICENCE.txt", "Apache-2.0"), (6, "a/b/own.py", "BSD-3-Clause"), (7, "", None), (8, "a/z.py", None), (9, "ab/c.py", None), (10, "a/b/c/own.py", "ISC"), (11, "a/b/license-mit", "MIT")]
     files = spark.createDataFrame([(i, i, p, own, 0.9 + 0.01 * (own == "GPL-3.0") if own else 0.0) for i, p, own in rows], "uid long, doc_id long, path string, own_licence string, own_score double")
     got = {r.doc_id: (r.licence, r.licence_dir) for r in licences.inherit(files).collect()}
-    assert got == {1: ("GPL-3.0", "a/b"), 2: ("MIT", None), 3: ("GPL-3.0", None), 4: ("Apache-2.0", ""), 5: ("Apache-2.0", None), 6: ("BSD-3-Clause", None), 7: ("Apache-2.0", ""), 8: ("MIT", "a"), 9: ("Apache-2.0", "")}
+    assert got == {1: ("GPL-3.0", "a/b"), 2: ("MIT", None), 3: ("GPL-3.0", None), 4: ("Apache-2.0", ""), 5: ("Apache-2.0", None), 6: ("BSD-3-Clause", None), 7: ("Apache-2.0", ""), 8: ("MIT", "a"), 9: ("Apache-2.0", ""), 10: ("ISC", None), 11: ("MIT", None)}
     assert licences.inherit(files.limit(0)).count() == 0
