@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -119,3 +119,35 @@ def fields(text: Column, delimiter: str, limit: int = -1) -> Column:
 def white_fields(text: Column, limit: int = -1) -> Column:
     """Parts between runs of white space after trimming; the last of ``limit`` parts keeps the rest."""
     return F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", limit)
+
+
+def mean_cm_per_base(markers: DataFrame) -> DataFrame:
+    """(chrom, mean): cM per base from the first to the last marker of ``markers(chrom, pos, cm)``, at least 1e-8; an error where all stand at one position."""
+    span = F.max("pos") - F.min("pos")
+    slope = F.when(span > 0, (F.max("cm") - F.min("cm")) / span).otherwise(F.raise_error(F.lit("one position only")).cast("double"))
+    return markers.groupBy("chrom").agg(F.greatest(slope, F.lit(1e-8)).alias("mean"))
+
+
+def first_seen_index(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """(name, index): distinct values numbered from 0 in the order in which they are first seen by ``order``."""
+    first = rows.groupBy(name).agg(F.min(order).alias("_first"))
+    return first.select(name, (F.row_number().over(Window.orderBy("_first", name)) - 1).alias("index"))
+
+
+def marker_ids(ids: Column) -> Column:
+    """Ids of a marker; none for ``.``."""
+    return F.when(ids == ".", F.array().cast("array<string>")).otherwise(F.split(ids, ";"))
+
+
+def marker_alleles(ref: Column, alt: Column) -> Column:
+    return F.when((alt == ".") | (alt == ""), F.array(ref)).otherwise(F.concat(F.array(ref), F.split(alt, ",")))
+
+
+def n_genotypes(alleles: Column) -> Column:
+    """Unordered pairs of that many alleles: n (n + 1) / 2."""
+    return F.floor(alleles * (alleles + 1) / 2)
+
+
+def marker_key(chrom: Column, pos: Column, ref: Column, alt: Column, end: Column) -> Column:
+    """What makes two markers the same: chromosome, position, alleles and END; not the id."""
+    return F.struct(chrom.alias("chrom"), pos.alias("pos"), ref.alias("ref"), alt.alias("alt"), F.coalesce(end, F.lit("")).alias("end"))

@@ -6,7 +6,7 @@ is arithmetic on its few alleles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,11 +50,11 @@ def ibs2_markers(gt: DataFrame, min_maf: float = 0.1, max_missing: float = 0.1)
 def carrier_lists(gt: DataFrame, n_samples: int, rare: float = 0.002) -> DataFrame:
     """Per marker and allele the class (list or high) and, for few carriers, their sorted list.
 
-    Rows are cut to the first ``max + 1`` carriers of an allele by sample before they are
-    gathered, so no list outgrows the limit however frequent an allele is.
+    ``gt(m, smp, a1, a2)`` has one row for each marker and sample. Carriers are counted first; only those of alleles with few carriers
+    are gathered, so no list outgrows ``max(3, n_samples * rare)`` however frequent an allele is.
     """
     most = max(3, int(n_samples * rare))
-    rows = observed_alleles(gt).distinct()
+    rows = gt.select("m", "smp", F.explode(F.array_distinct(F.array("a1", "a2"))).alias("a")).where("a >= 0")
     sized = rows.groupBy("m", "a").agg(F.count("*").alias("carriers"))
     few = sized.where(F.col("carriers") <= most).select("m", "a")
     lists = rows.join(few, ["m", "a"]).groupBy("m", "a").agg(F.array_join(F.sort_array(F.collect_list("smp")), ",").alias("samples"))
@@ -62,13 +62,29 @@ def carrier_lists(gt: DataFrame, n_samples: int, rare: float = 0.002) -> DataFra
     return sized.join(lists, ["m", "a"], "left").select("m", "a", "carriers", kind.alias("kind"), "samples")
 
 
-def dose_r2(doses: DataFrame) -> DataFrame:
-    """(sum d^2 - S^2/n) / (S - S^2/n) per marker of ``doses(m, d)``, 0 where S or the numerator is not positive; and S / n."""
+def em_estimates(rows: DataFrame) -> DataFrame:
+    """One row (p_mismatch, intensity) from ``rows(markers, mismatch, distance, switch)``, one for each haplotype.
+
+    Mismatch probability is the mismatch mass over the markers, the recombination intensity the
+    switch mass over the distance of the haplotypes that switch; NaN of nothing.
+    """
+    moved = F.col("switch") > 0
+    over = lambda top, bottom: F.coalesce(F.try_divide(F.sum(top), F.sum(bottom)), F.lit(float("nan")))
+    return rows.agg(over("mismatch", "markers").alias("p_mismatch"), over(F.when(moved, F.col("switch")), F.when(moved, F.col("distance"))).alias("intensity"))
+
+
+def swap_rate(rows: DataFrame) -> DataFrame:
+    """Swapped over unphased heterozygotes of ``rows(swaps, hets)``; NaN of nothing."""
+    return rows.agg(F.coalesce(F.try_divide(F.sum("swaps").cast("double"), F.sum("hets").cast("double")), F.lit(float("nan"))).alias("swap_rate"))
+
+
+def dose_r2(doses: DataFrame, keys: tuple[str, ...] = ("m",)) -> DataFrame:
+    """(sum d^2 - S^2/n) / (S - S^2/n) per marker of ``doses(keys, d)``, 0 where S or the numerator is not positive; and S / n."""
     s, q, n = F.sum("d"), F.sum(F.col("d") * F.col("d")), F.count("*")
-    sums = doses.groupBy("m").agg(s.alias("s"), q.alias("q"), n.alias("n"))
+    sums = doses.groupBy(*keys).agg(s.alias("s"), q.alias("q"), n.alias("n"))
     top, bottom = F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("s") - F.col("s") * F.col("s") / F.col("n")
     r2 = F.when((F.col("s") == 0) | (top <= 0) | (bottom <= 0), 0.0).otherwise(top / bottom)
-    return sums.select("m", r2.alias("dr2"), (F.col("s") / F.col("n")).alias("af"))
+    return sums.select(*keys, r2.alias("dr2"), (F.col("s") / F.col("n")).alias("af"))
 
 
 def ratio(rows: DataFrame, top: str, bottom: str) -> DataFrame:
@@ -102,3 +118,8 @@ def merged_states(states: DataFrame) -> DataFrame:
 
 def array_extremes(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumns({"low": F.array_min(column), "high": F.array_max(column)})
+
+
+def pruned_states(rows: DataFrame, least: Column) -> DataFrame:
+    """States whose probability ``p`` here or ``p_next`` at the next cluster exceeds a bound."""
+    return rows.where((F.col("p") > least) | (F.col("p_next") > least))

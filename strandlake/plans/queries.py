@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype as fn
-from ..operators import counts, filters, hmm, joins, matching, segments
-from ..sources import files
-from . import views
+from ..operators import counts, filters, imputation, joins, matching, phasing, segments, states
+from ..operators.shared import checkpointed, shared_dir
+from ..operators.statistics import RunStatistics
+from ..sources import bgzf, bref3, files
+from . import jobs, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -193,10 +195,12 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "events").where("event_type = 'click'").select((u % 50).alias("s1"), (u % 7 + 50).alias("s2"), (e % 1000).alias("start"), (e % 1000 + u % 20).alias("end"))
 
 
-@query("SELECT s1, s2, m AS start, m + 3 AS end FROM (SELECT DISTINCT s1, s2 FROM segs) CROSS JOIN (SELECT m FROM markers WHERE m < 100) r WHERE NOT EXISTS (SELECT 1 FROM segs g WHERE g.s1 = segs.s1 AND g.s2 = segs.s2 AND g.a <= r.m + 3 AND g.b >= r.m)".replace("(SELECT DISTINCT s1, s2 FROM segs) CROSS", "(SELECT DISTINCT s1, s2 FROM segs) segs CROSS"), _SEGS)
+@query("SELECT s1, s2, m AS start, m + 3 AS end FROM (SELECT DISTINCT s1, s2 FROM segs) CROSS JOIN (SELECT m FROM markers) r WHERE NOT EXISTS (SELECT 1 FROM segs g WHERE g.s1 = segs.s1 AND g.s2 = segs.s2 AND g.a <= r.m + 3 AND g.b >= r.m)".replace("(SELECT DISTINCT s1, s2 FROM segs) CROSS", "(SELECT DISTINCT s1, s2 FROM segs) segs CROSS"), _SEGS)
 def ibs2_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = _segments(spark, sf_dir)
-    asked = segs.select("s1", "s2").distinct().select("s1", "s2", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("start"))
+    # every marker is asked for every pair
+    most = views.markers(spark, sf_dir).agg(F.max("m").alias("m")).first().m
+    asked = segs.select("s1", "s2").distinct().select("s1", "s2", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("start"))
     return joins.outside_segments(asked.withColumn("end", F.col("start") + 3), segs)
 
 
@@ -205,19 +209,26 @@ def segment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.merged_segments(_segments(spark, sf_dir), ["s1", "s2"], 4)
 
 
-@query("""SELECT DISTINCT g.s1, g.s2, g.a AS start, greatest(g.b, CASE WHEN g.b < 1000 THEN coalesce((SELECT min(m) - 1 FROM bad x WHERE x.s1 = g.s1 AND m >= g.b), 999) ELSE g.b END) AS end FROM (SELECT s1, s2, max(a) AS a, max(b) AS b FROM segs GROUP BY s1, s2) g""", _SEGS + ", bad AS (SELECT s1, m FROM (SELECT DISTINCT s1 FROM segs) CROSS JOIN (SELECT range AS m FROM range(1000)) WHERE (m * 31 + s1) % 17 = 0)")
+@query("""SELECT s1, s2, a AS start, b AS end, least(a, coalesce((SELECT max(m) + 1 FROM bad x WHERE x.s1 = g.s1 AND m <= g.a), 0)) AS new_start,
+  CASE WHEN b < 1000 THEN greatest(b, coalesce((SELECT min(m) - 1 FROM bad x WHERE x.s1 = g.s1 AND m >= g.b), 999)) ELSE b END AS new_end FROM (SELECT s1, s2, max(a) AS a, max(b) AS b FROM segs GROUP BY s1, s2) g""", _SEGS + ", bad AS (SELECT s1, m FROM (SELECT DISTINCT s1 FROM segs) CROSS JOIN (SELECT range AS m FROM range(1000)) WHERE (m * 31 + s1) % 17 = 0)")
 def segment_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = _segments(spark, sf_dir).groupBy("s1", "s2").agg(F.max("start").alias("start"), F.max("end").alias("end"))
     checks = segs.select("s1", "s2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))).alias("m")).withColumn("ok", (F.col("m") * 31 + F.col("s1")) % 17 != 0)
-    grown = segments.extended_segments(segs, checks)
-    ends = grown.select("s1", "s2", "end")
-    return segs.select("s1", "s2", "start").join(ends, ["s1", "s2"])
+    return segments.extended_segments(segs, checks)
 
 
-@query("SELECT o.o_orderkey AS i, l.l_linenumber AS j, o.o_custkey AS v FROM (SELECT * FROM orders WHERE o_orderkey < 400) o JOIN (SELECT * FROM lineitem WHERE l_orderkey < 200) l ON o.o_custkey = l.l_orderkey")
+@query("SELECT s1, s2, a AS start, b AS end, round((b - a) * 0.1, 9) AS cm FROM (SELECT DISTINCT s1, s2, a, b FROM segs) WHERE (b - a) * 0.1::DOUBLE >= 1.0::DOUBLE", _SEGS)
+def segment_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of one cM or more, at a tenth of a cM for each marker."""
+    marks = spark.range(0, 1100).select(F.col("id").alias("m"), (F.col("id") * 0.1).alias("cm"))
+    found = segments.long_segments(_segments(spark, sf_dir).distinct(), marks, 1.0 - 1e-9)
+    return rounded(found, "cm")
+
+
+@query("SELECT o.o_orderkey AS i, l.l_linenumber AS j, o.o_custkey AS v FROM orders o JOIN lineitem l ON o.o_custkey = l.l_orderkey")
 def common_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = views.table(spark, sf_dir, "orders").where("o_orderkey < 400").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("v"))
-    right = views.table(spark, sf_dir, "lineitem").where("l_orderkey < 200").select(F.col("l_linenumber").alias("j"), F.col("l_orderkey").alias("v"))
+    left = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("v"))
+    right = views.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("j"), F.col("l_orderkey").alias("v"))
     return joins.common_elements(left, right)
 
 
@@ -236,14 +247,20 @@ def _sequences(spark: SparkSession, sf_dir: str, per_step: int = 100) -> DataFra
     return matching.haplotype_sequences(ref, ["step"])
 
 
+def _packed(spark: SparkSession, sf_dir: str, per_step: int = 100) -> DataFrame:
+    at = F.col("m")
+    ref = views.gt_ref(spark, sf_dir).select("hap", "a", F.floor(at / per_step).alias("step"), (at % per_step).alias("k"))
+    return matching.packed_sequences(ref, ["step"])
+
+
 @query("SELECT s.step, s.hap, k.code FROM seqs s JOIN (SELECT step, seq, row_number() OVER (PARTITION BY step ORDER BY min(hap)) - 1 AS code FROM seqs GROUP BY step, seq) k USING (step, seq)", _SEQ)
 def coded_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.coded_sequences(_sequences(spark, sf_dir), ["step"])
+    return matching.coded_sequences(_packed(spark, sf_dir), ["step"])
 
 
 @query("SELECT s.step, s.hap, coalesce(k.code, 0) AS code FROM seqs s LEFT JOIN (SELECT step, seq, row_number() OVER (PARTITION BY step ORDER BY min(hap)) AS code FROM seqs WHERE hap % 20 < 2 GROUP BY step, seq) k USING (step, seq) WHERE hap % 20 >= 2", _SEQ.replace("m // 100", "m // 4"))
 def coded_against_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sequences(spark, sf_dir, 4)
+    rows = _packed(spark, sf_dir, 4)
     return matching.coded_against_targets(rows.where("hap % 20 < 2"), rows.where("hap % 20 >= 2"), ["step"])
 
 
@@ -252,10 +269,14 @@ def prefix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.prefix_order(views.gt_ref(spark, sf_dir), ["chrom"])
 
 
-@query("SELECT hap, CASE WHEN n1 <= 30 THEN 1 WHEN n2 <= 30 THEN 2 ELSE 3 END AS depth, CASE WHEN n1 <= 30 THEN n1 WHEN n2 <= 30 THEN n2 ELSE n3 END AS size FROM (SELECT a.hap, count(*) OVER (PARTITION BY a.seq) AS n1, count(*) OVER (PARTITION BY a.seq, b.seq) AS n2, count(*) OVER (PARTITION BY a.seq, b.seq, c.seq) AS n3 FROM seqs a JOIN seqs b USING (hap) JOIN seqs c USING (hap) WHERE a.step = 0 AND b.step = 1 AND c.step = 2)", _SEQ.replace("m // 100", "m // 8"))
+@query("""SELECT chain, hap, CASE WHEN n1 <= 30 THEN 1 WHEN n2 <= 30 THEN 2 ELSE 3 END AS depth, CASE WHEN n1 <= 30 THEN n1 WHEN n2 <= 30 THEN n2 ELSE n3 END AS size FROM (
+  SELECT a.step // 3 AS chain, a.hap, count(*) OVER (PARTITION BY a.step, a.seq) AS n1, count(*) OVER (PARTITION BY a.step, a.seq, b.seq) AS n2, count(*) OVER (PARTITION BY a.step, a.seq, b.seq, c.seq) AS n3
+  FROM seqs a LEFT JOIN seqs b ON b.hap = a.hap AND b.step = a.step + 1 LEFT JOIN seqs c ON c.hap = a.hap AND c.step = a.step + 2 WHERE a.step % 3 = 0)""", _SEQ.replace("m // 100", "m // 8"))
 def identity_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = matching.coded_sequences(_sequences(spark, sf_dir, 8).where("step < 3"), ["step"])
-    return matching.identity_partition(codes, [], 3, 30)
+    """Chains of three steps, from which on haplotypes are split until parts are small."""
+    step = F.col("step")
+    codes = matching.coded_sequences(_packed(spark, sf_dir, 8), ["step"]).select(F.floor(step / 3).alias("chain"), (step % 3).alias("step"), "hap", "code")
+    return matching.identity_partition(codes, ["chain"], 3, 30)
 
 
 _PAIRS = "pairs AS (SELECT m // 8 AS step, smp, string_agg((a1 + a2)::VARCHAR, '' ORDER BY m) AS g, max((a1 <> a2)::INT) AS het FROM (SELECT m, smp, max(a) AS a1, min(a) AS a2 FROM gt_ref GROUP BY m, smp) GROUP BY 1, 2)"
@@ -301,11 +322,11 @@ def posterior_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _greedy_sql(first: str, rest: str) -> str:
-    """Start positions of greedy runs by a recursive query: a run takes markers up to its limit."""
+    """Start positions of greedy runs by a recursive query: a run takes markers up to its limit, the first one up to ``first``."""
+    beyond = f"c.chrom = b.chrom AND CASE WHEN b.step = 0 THEN c.cm - b.s {first} ELSE c.cm - b.s {rest} END"
     return f"""cms AS (SELECT chrom, m, pos / 1e6 AS cm FROM markers), starts AS (
   SELECT chrom, min(cm) AS s, 0 AS step FROM cms GROUP BY chrom UNION ALL
-  SELECT b.chrom, (SELECT min(cm) FROM cms c WHERE c.chrom = b.chrom AND c.cm - b.s {rest} AND (b.step > 0 OR c.cm - b.s {first})), b.step + 1 FROM starts b
-  WHERE EXISTS (SELECT 1 FROM cms c WHERE c.chrom = b.chrom AND c.cm - b.s {rest} AND (b.step > 0 OR c.cm - b.s {first})))"""
+  SELECT b.chrom, (SELECT min(cm) FROM cms c WHERE {beyond}), b.step + 1 FROM starts b WHERE EXISTS (SELECT 1 FROM cms c WHERE {beyond}))"""
 
 
 @query("SELECT c.chrom, c.m, max(s.step)::BIGINT AS step FROM cms c JOIN starts s ON c.chrom = s.chrom AND c.cm >= s.s GROUP BY c.chrom, c.m", _greedy_sql(">= 0.05", ">= 0.05"))
@@ -318,30 +339,57 @@ def marker_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(segments.marker_clusters(_mega(spark, sf_dir), 0.03), "mid")
 
 
-@query()
+@query("SELECT c.chrom, c.m, max(s.step)::BIGINT AS step FROM cms c JOIN starts s ON c.chrom = s.chrom AND c.cm >= s.s GROUP BY c.chrom, c.m", _greedy_sql(">= 0.05", ">= 0.1"))
 def imputation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.greedy_steps(_mega(spark, sf_dir), 0.1, 0.05).select("chrom", "m", "step")
 
 
-@query()
+@query("SELECT smp, chrom, m, run::BIGINT AS cluster FROM fold", """calls AS MATERIALIZED (SELECT smp, chrom, g.m, pos / 1e6 AS cm, a1 <> a2 OR a1 < 0 AS single, row_number() OVER (PARTITION BY smp, chrom ORDER BY g.m) AS k FROM gt_obs g JOIN markers USING (m)), fold AS (
+  SELECT smp, chrom, m, k, single, cm AS start, 1 AS size, 0 AS run FROM calls WHERE k = 1 UNION ALL
+  SELECT n.smp, n.chrom, n.m, n.k, n.single, CASE WHEN n.single OR f.single OR n.cm - f.start > 0.05 OR f.size >= 255 THEN n.cm ELSE f.start END,
+    CASE WHEN n.single OR f.single OR n.cm - f.start > 0.05 OR f.size >= 255 THEN 1 ELSE f.size + 1 END, CASE WHEN n.single OR f.single OR n.cm - f.start > 0.05 OR f.size >= 255 THEN f.run + 1 ELSE f.run END
+  FROM fold f JOIN calls n ON n.smp = f.smp AND n.chrom = f.chrom AND n.k = f.k + 1)""")
 def genotype_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.genotype_clusters(views.gt_obs(spark, sf_dir), _mega(spark, sf_dir), 0.05)
 
 
-@query()
+@query("""SELECT s.chrom, (s.step // 10)::BIGINT AS step, c.m AS first FROM starts s JOIN cms c ON c.chrom = s.chrom AND c.cm = s.s JOIN (SELECT chrom, (count(*) + 9) // 10 AS n FROM starts GROUP BY chrom) t ON t.chrom = s.chrom
+  WHERE s.step % 10 = 0 AND (s.step // 10 < n - 1 OR n = 1)""", _greedy_sql(">= 0.02", ">= 0.02"))
 def ibs2_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.ibs2_steps(_mega(spark, sf_dir), 10)
 
 
-@query()
+#: Windows of 0.4 cM with an overlap of 0.1 cM; positions run from 0 in each chromosome, numbered from 0.
+_WINDOWS = """placed AS MATERIALIZED (SELECT chrom, m, pos, row_number() OVER (PARTITION BY chrom ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY chrom) AS n FROM markers), cut AS (
+  SELECT p.chrom, p.i, p.n, (SELECT count(*) FROM placed q WHERE q.chrom = p.chrom AND q.pos < floor((p.pos / 1e6 + 0.4) * 1e6 + 0.5)) AS first_end, (SELECT count(*) FROM placed q WHERE q.chrom = p.chrom AND q.pos < floor((p.pos / 1e6 + (0.4 - 0.1)) * 1e6 + 0.5)) AS next_end,
+    (SELECT count(*) FROM placed q WHERE q.chrom = p.chrom AND q.pos < floor((p.pos / 1e6 - 0.1) * 1e6 + 0.5)) AS back FROM placed p
+), wins AS (
+  SELECT c.chrom, 0 AS k, 0::BIGINT AS s, 0::BIGINT AS r, greatest(c.first_end, 1) AS e, c.n FROM cut c WHERE c.i = 0 UNION ALL
+  SELECT w.chrom, w.k + 1, greatest(b.back, w.s), w.e, greatest(x.next_end, w.e + 1), w.n FROM wins w JOIN cut b ON b.chrom = w.chrom AND b.i = w.e - 1 JOIN cut x ON x.chrom = w.chrom AND x.i = w.e WHERE w.e < w.n
+), plan AS (
+  SELECT w.chrom, w.k AS window_id, s, e, s + (r - s) // 2 AS pf, CASE WHEN e >= w.n THEN e - 1 ELSE s + (e - s + greatest(b.back, w.s) - s) // 2 - 1 END AS pl FROM wins w JOIN cut b ON b.chrom = w.chrom AND b.i = w.e - 1
+)"""
+
+
+@query("SELECT p.chrom, p.window_id::BIGINT AS window_id, a.m AS m_from, b.m AS m_last, c.m AS print_from, d.m AS print_last FROM plan p JOIN placed a ON a.chrom = p.chrom AND a.i = s JOIN placed b ON b.chrom = p.chrom AND b.i = e - 1 JOIN placed c ON c.chrom = p.chrom AND c.i = pf JOIN placed d ON d.chrom = p.chrom AND d.i = pl", _WINDOWS)
 def window_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.window_plan(_mega(spark, sf_dir), 0.4, 0.1)
 
 
-@query("SELECT chrom, m, 1 AS times FROM markers")
+@query("SELECT q.chrom, q.m, max(window_id)::BIGINT AS window_id FROM placed q JOIN plan p ON p.chrom = q.chrom AND q.i BETWEEN pf AND pl GROUP BY q.chrom, q.m HAVING count(*) = 1", _WINDOWS)
 def printed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window that prints each marker."""
+    marks = _mega(spark, sf_dir)
+    return segments.printed_markers(marks, segments.window_plan(marks, 0.4, 0.1))
+
+
+@query("SELECT p.chrom, p.window_id::BIGINT AS window_id, count(*) AS n, count(*) FILTER (m % 3 = 0) AS n_targ FROM plan p JOIN placed q ON q.chrom = p.chrom AND q.i BETWEEN s AND e - 1 GROUP BY ALL", _WINDOWS)
+def shared_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over reference markers, of which the target has every third, with the markers of both in each."""
     marks = _mega(spark, sf_dir)
-    return segments.printed_markers(marks, segments.window_plan(marks, 0.4, 0.1)).groupBy("chrom", "m").agg(F.count("window_id").cast("int").alias("times"))
+    plan = checkpointed(segments.shared_window_plan(marks, marks.where("m % 3 = 0").select("chrom", "m"), 0.4, 0.1))
+    members = segments.window_members(marks.select("chrom", "m"), plan).groupBy("chrom", "window_id").agg(F.count("*").alias("n"))
+    return members.join(plan.select("chrom", "window_id", "n_targ"), ["chrom", "window_id"])
 
 
 @query("SELECT chrom, m // 40 AS cluster, round(1 - exp(sum(ln(1 - 0.001 * (m % 40)))), 9) AS p_recomb FROM markers GROUP BY ALL")
@@ -394,22 +442,22 @@ def marker_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "part").select("p_partkey", fn.info_end(info).alias("info_end"), fn.with_allele_counts(info, F.col("p_size"), F.lit("1,2")).alias("recounted"), F.size(fn.fields(F.col("p_name"), " ")).cast("long").alias("n_fields"))
 
 
-@query("SELECT m, hap, a FROM gt_ref WHERE chrom = 0")
+@query("SELECT m, hap, a FROM gt_ref")
 def transpose_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marker-major to haplotype-major arrays and back."""
-    ref = views.gt_ref(spark, sf_dir).where("chrom = 0")
-    wide = ref.groupBy("hap").agg(F.sort_array(F.collect_list(F.struct("m", "a"))).alias("row"))
+    ref = views.gt_ref(spark, sf_dir)
+    wide = ref.groupBy("chrom", "hap").agg(F.sort_array(F.collect_list(F.struct("m", "a"))).alias("row"))
     return wide.select("hap", F.explode("row").alias("x")).select("x.m", "hap", "x.a")
 
 
-@query("""SELECT hap, round(f0, 9) AS f0, round(f1, 9) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY hap ORDER BY k DESC) AS z FROM fw) WHERE z = 1""", """obs AS (SELECT hap, a, row_number() OVER (PARTITION BY hap ORDER BY m) AS k FROM gt_ref WHERE chrom = 1 AND m < 400), fw AS (
-  SELECT hap, k, (CASE WHEN a = 0 THEN 0.99 ELSE 0.01 END * 0.5)::DOUBLE AS f0, (CASE WHEN a = 1 THEN 0.99 ELSE 0.01 END * 0.5)::DOUBLE AS f1 FROM obs WHERE k = 1 UNION ALL
-  SELECT o.hap, o.k, CASE WHEN a = 0 THEN 0.99 ELSE 0.01 END * (0.9 * f0 / (f0 + f1) + 0.05), CASE WHEN a = 1 THEN 0.99 ELSE 0.01 END * (0.9 * f1 / (f0 + f1) + 0.05) FROM fw JOIN obs o ON o.hap = fw.hap AND o.k = fw.k + 1)""")
+@query("""SELECT chrom, hap, round(f0, 9) AS f0, round(f1, 9) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY chrom, hap ORDER BY k DESC) AS z FROM fw) WHERE z = 1""", """obs AS MATERIALIZED (SELECT chrom, hap, a, row_number() OVER (PARTITION BY chrom, hap ORDER BY m) AS k FROM gt_ref), fw AS (
+  SELECT chrom, hap, k, (CASE WHEN a = 0 THEN 0.99 ELSE 0.01 END * 0.5)::DOUBLE AS f0, (CASE WHEN a = 1 THEN 0.99 ELSE 0.01 END * 0.5)::DOUBLE AS f1 FROM obs WHERE k = 1 UNION ALL
+  SELECT o.chrom, o.hap, o.k, CASE WHEN a = 0 THEN 0.99 ELSE 0.01 END * (0.9 * f0 / (f0 + f1) + 0.05), CASE WHEN a = 1 THEN 0.99 ELSE 0.01 END * (0.9 * f1 / (f0 + f1) + 0.05) FROM fw JOIN obs o ON o.chrom = fw.chrom AND o.hap = fw.hap AND o.k = fw.k + 1)""")
 def hmm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two states that emit allele 0 and 1: a fold over each haplotype's alleles."""
     e = lambda a, s: F.when(a == s, 0.99).otherwise(0.01)
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("m", "a"))), lambda x: x["a"])
-    rows = views.gt_ref(spark, sf_dir).where("chrom = 1 and m < 400").groupBy("hap").agg(ordered.alias("obs"))
+    rows = views.gt_ref(spark, sf_dir).groupBy("chrom", "hap").agg(ordered.alias("obs"))
     first = F.struct(F.lit(0.0).alias("f0"), F.lit(0.0).alias("f1"))
 
     def step(f, a):
@@ -417,7 +465,7 @@ def hmm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
         move = lambda x: F.when(total == 0, 0.5).otherwise(0.9 * x / F.nullif(total, F.lit(0.0)) + 0.05)
         return F.struct((e(a, 0) * move(f["f0"])).alias("f0"), (e(a, 1) * move(f["f1"])).alias("f1"))
 
-    return rounded(rows.select("hap", F.aggregate("obs", first, step).alias("f")).select("hap", "f.*"), "f0", "f1")
+    return rounded(rows.select("chrom", "hap", F.aggregate("obs", first, step).alias("f")).select("chrom", "hap", "f.*"), "f0", "f1")
 
 
 @query("SELECT smp, m, a1, a2 FROM gt_obs")
@@ -464,17 +512,220 @@ def prefix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.prefix_neighbours(views.gt_ref(spark, sf_dir), ["chrom"])
 
 
+@query("""SELECT m, hap, round(coalesce(sum(mass) FILTER (a = 1), 0) / sum(mass), 9) + 0.0 AS p1 FROM (SELECT g.m, t.hap, g.a, w * (1.0::DOUBLE / (g.hap + 1)) + (1 - w) * (1.0::DOUBLE / (g.hap + cluster + 2)) AS mass FROM (
+  SELECT m, chrom, (row_number() OVER (PARTITION BY chrom ORDER BY m) - 1) // 10 AS cluster, ((row_number() OVER (PARTITION BY chrom ORDER BY m) - 1) % 10 + 1) / 10.0::DOUBLE AS w FROM markers) k
+  JOIN gt_ref g USING (m) JOIN (SELECT hap FROM haps WHERE smp % 10 = 0) t ON g.hap % 20 = (t.hap + cluster) % 20 WHERE g.smp % 10 <> 0) GROUP BY m, hap""")
+def allele_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of allele 1 from sparse states: between two clusters their posteriors are weighed."""
+    marks = states.places(views.markers(spark, sf_dir).withColumnRenamed("chrom", "line"))
+    blocks = marks.groupBy("line", F.floor(F.col("k") / 10).cast("int").alias("cluster")).agg(F.min("k").alias("first"), F.sort_array(F.collect_list(F.struct("k", "m"))).alias("x"))
+    blocks = blocks.select("line", "cluster", "first", F.transform("x", lambda x: x["m"]).alias("ms"), F.transform("x", lambda x: (x["k"] % 10 + 1) / 10.0).alias("weights"))
+    ref = views.gt_ref(spark, sf_dir).where("smp % 10 <> 0").join(marks.select("line", "m", "k"), "m").select("line", "k", "hap", "a")
+    targ = views.haps(spark, sf_dir).where("smp % 10 = 0").select("hap")
+    # a state for every twentieth reference haplotype
+    refs = views.haps(spark, sf_dir).where("smp % 10 <> 0").select(F.col("hap").alias("ref_hap"), (F.col("hap") % 20).alias("z"))
+    asked = targ.select("hap", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("z")).join(refs, "z")
+    rows = blocks.select("line", "cluster", F.pmod(F.lit(0) - F.col("cluster"), F.lit(20)).alias("_c")).join(asked.withColumn("_c", F.pmod(F.col("hap") - F.col("z"), F.lit(20))), "_c")
+    states_of = rows.select("line", "hap", "cluster", "ref_hap", (1.0 / (F.col("ref_hap") + 1)).alias("p"), (1.0 / (F.col("ref_hap") + F.col("cluster") + 2)).alias("p_next"))
+    found = imputation.allele_probabilities(states_of, states.wide_haplotypes(ref), blocks)
+    return rounded(found.select("m", "hap", F.col("probs")[1].alias("p1")), "p1")
+
+
+_RARE = """hets AS (SELECT g.m, chrom, smp, least(a1, a2) AS low, greatest(a1, a2) AS high, g.m // 40 AS k, (g.m % 40) / 40.0::DOUBLE AS w FROM gt_obs g JOIN markers USING (m) WHERE a1 <> a2 AND a1 >= 0), votes AS (
+  SELECT h.m, h.smp, sum((w / (2 * smp + side + j + 1) + (1 - w) / (2 * smp + side + j + 3)) * CASE WHEN (h.m + j) % 2 = high THEN 1 WHEN (h.m + j) % 2 = low THEN -1 ELSE 0 END * CASE WHEN side = 0 THEN 1 ELSE -1 END) AS e
+  FROM hets h CROSS JOIN (SELECT range AS side FROM range(2)) CROSS JOIN (SELECT range AS j FROM range(5)) GROUP BY h.m, h.smp)"""
+
+
+def _rare_hets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heterozygotes phased by five states each, whose alleles alternate from marker to marker."""
+    marks = views.markers(spark, sf_dir).select(F.col("chrom").alias("line"), "m")
+    hets = views.gt_obs(spark, sf_dir).where("a1 <> a2 and a1 >= 0").join(marks, "m")
+    hets = hets.select("line", "m", "smp", F.least("a1", "a2").alias("low"), F.greatest("a1", "a2").alias("high"), F.floor(F.col("m") / 40).cast("int").alias("left_k"), ((F.col("m") % 40) / 40.0).alias("weight"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")
+    haps = hets.select("line", "left_k", F.explode(F.array(2 * F.col("smp"), 2 * F.col("smp") + 1)).alias("hap")).distinct().select("line", F.col("left_k").alias("k"), "hap", each)
+    posteriors = haps.select("line", "k", "hap", (F.lit(1000) + F.col("j")).alias("ref_hap"), (1.0 / (F.col("hap") + F.col("j") + 1)).alias("p"), (1.0 / (F.col("hap") + F.col("j") + 3)).alias("p_next"))
+    carriers = marks.select("line", "m", each).select("line", "m", (F.lit(1000) + F.col("j")).alias("hap"), ((F.col("m") + F.col("j")) % 2).alias("a"))
+    return phasing.phase_rare(hets, carriers, posteriors)
+
+
+@query("SELECT h.m, smp, CASE WHEN e > 0 THEN high ELSE low END AS a1, CASE WHEN e > 0 THEN low ELSE high END AS a2 FROM hets h JOIN votes USING (m, smp)", _RARE)
+def rare_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rare_hets(spark, sf_dir).select("m", "smp", "a1", "a2")
+
+
+@query("""SELECT g.m, g.smp, coalesce(CASE WHEN v.e > 0 THEN high ELSE low END, CASE WHEN g.m % 5 = 0 THEN 1 ELSE a1 END) AS a1, coalesce(CASE WHEN v.e > 0 THEN low ELSE high END, CASE WHEN g.m % 5 = 0 THEN 0 ELSE a2 END) AS a2
+  FROM gt_obs g LEFT JOIN (SELECT h.*, e FROM hets h JOIN votes USING (m, smp) WHERE h.m % 5 <> 0) v ON v.m = g.m AND v.smp = g.smp""".replace("CASE WHEN v.e > 0 THEN high ELSE low END", "CASE WHEN v.e IS NULL THEN NULL WHEN v.e > 0 THEN high ELSE low END").replace("CASE WHEN v.e > 0 THEN low ELSE high END", "CASE WHEN v.e IS NULL THEN NULL WHEN v.e > 0 THEN low ELSE high END"), _RARE)
+def phase_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth marker as phased in passes, rare heterozygotes by their states, and all other genotypes as they are."""
+    line = F.lit(0).alias("line")
+    obs = views.gt_obs(spark, sf_dir).select(line, "m", "smp", "a1", "a2")
+    stage1 = obs.where("m % 5 = 0").select("line", "m", "smp", F.lit(1).alias("a1"), F.lit(0).alias("a2"))
+    rare = _rare_hets(spark, sf_dir).where("m % 5 <> 0").select(line, "m", "smp", "a1", "a2")
+    return phasing.all_phased(stage1, rare, obs).select("m", "smp", "a1", "a2")
+
+
+@query("SELECT hap, state, p, p_next FROM (SELECT hap, m AS state, 1.0::DOUBLE / (m + hap + 1) AS p, 1.0::DOUBLE / (m + hap + 3) AS p_next FROM gt_ref WHERE a = 1) WHERE p > 0.005 OR p_next > 0.005")
+def state_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States whose probability matters here or at the next cluster."""
+    rows = views.gt_ref(spark, sf_dir).where("a = 1").select("hap", F.col("m").alias("state"), (1.0 / (F.col("m") + F.col("hap") + 1)).alias("p"), (1.0 / (F.col("m") + F.col("hap") + 3)).alias("p_next"))
+    return counts.pruned_states(rows, F.least(F.lit(0.005), F.lit(0.9999) / F.lit(100)))
+
+
+@query("SELECT round(sum(l_tax) / sum(l_quantity), 9) AS p_mismatch, round(sum(l_discount) FILTER (l_discount > 0) / sum(l_extendedprice) FILTER (l_discount > 0), 12) AS intensity FROM lineitem")
+def em_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("markers"), F.col("l_tax").alias("mismatch"), F.col("l_extendedprice").alias("distance"), F.col("l_discount").alias("switch"))
+    return counts.em_estimates(rows).select(F.round("p_mismatch", 9).alias("p_mismatch"), F.round("intensity", 12).alias("intensity"))
+
+
+@query("SELECT round(sum(l_linenumber % 2) / sum(l_linenumber)::DOUBLE, 9) AS swap_rate FROM lineitem")
+def swap_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") % 2).alias("swaps"), F.col("l_linenumber").alias("hets"))
+    return rounded(counts.swap_rate(rows), "swap_rate")
+
+
+@query("SELECT chrom, round(greatest((max(pos) / 1e6 - min(pos) / 1e6) / (max(pos) - min(pos)), 1e-8), 15) AS mean FROM markers GROUP BY chrom")
+def mean_map_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fn.mean_cm_per_base(_mega(spark, sf_dir)).select("chrom", F.round("mean", 15).alias("mean"))
+
+
+@query("SELECT p_type, row_number() OVER (ORDER BY min(p_partkey)) - 1 AS index FROM part GROUP BY p_type")
+def first_seen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fn.first_seen_index(views.table(spark, sf_dir, "part"), "p_type", "p_partkey")
+
+
+@query("SELECT m, chrom, pos FROM markers WHERE chrom IN (SELECT m % 3 FROM gt_obs WHERE m % 2 = 0)")
+def reference_chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference markers on chromosomes that a target has."""
+    targ = views.gt_obs(spark, sf_dir).where("m % 2 = 0").select((F.col("m") % 3).alias("chrom"))
+    return joins.on_chromosomes_of(views.markers(spark, sf_dir), targ).select("m", "chrom", "pos")
+
+
+@query("SELECT smp, sample_id, count(*) OVER (PARTITION BY sample_id) > 1 AS twice FROM (SELECT s_suppkey::INT AS smp, 's' || s_suppkey AS sample_id FROM supplier UNION ALL SELECT s_suppkey::INT + (SELECT max(s_suppkey)::INT + 1 FROM supplier), 's' || (s_suppkey * 2) FROM supplier)")
+def sample_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("int")
+    rows = views.table(spark, sf_dir, "supplier")
+    return joins.sample_union(rows.select(key.alias("smp"), F.concat(F.lit("s"), key.cast("string")).alias("sample_id")), rows.select(key.alias("smp"), F.concat(F.lit("s"), (key * 2).cast("string")).alias("sample_id")))
+
+
+@query("SELECT a.m, b.m AS other FROM keyed a JOIN keyed b ON a.chrom = b.chrom AND a.pos = b.pos AND a.alt = b.alt AND a.end = b.end", "keyed AS (SELECT m, chrom, pos % 40000 AS pos, CASE WHEN w % 3 = 0 THEN 'C' ELSE 'G' END AS alt, CASE WHEN w % 4 = 0 THEN '9' ELSE '' END AS end FROM markers)")
+def marker_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers that are the same by chromosome, position, alleles and END."""
+    w = F.col("w")
+    rows = views.markers(spark, sf_dir).select("m", "chrom", (F.col("pos") % 40000).alias("pos"), F.lit("A").alias("ref"), F.when(w % 3 == 0, "C").otherwise("G").alias("alt"), F.when(w % 4 == 0, "9").alias("end"))
+    keyed = rows.select("m", fn.marker_key(*(F.col(c) for c in ("chrom", "pos", "ref", "alt", "end"))).alias("key"))
+    return keyed.join(keyed.withColumnRenamed("m", "other"), "key").select("m", "other")
+
+
+@query("SELECT m, hap, a FROM gt_ref WHERE m IN (SELECT m FROM markers WHERE w % 5 = 0 AND pos BETWEEN 30000 AND 800000)")
+def marker_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genotypes of a range of positions and a list of markers."""
+    chosen = filters.marker_range(views.markers(spark, sf_dir), 30_000, 800_000).where("w % 5 = 0")
+    return filters.restricted(views.gt_ref(spark, sf_dir), chosen).select("m", "hap", "a")
+
+
+@query("SELECT l_orderkey, least(min(l_linenumber), 9) AS low, greatest(max(l_linenumber), -9) AS high FROM lineitem GROUP BY l_orderkey")
+def array_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("all"))
+    return counts.array_extremes(rows, "all").drop("all")
+
+
+@query("SELECT doc_id, len(parts) AS n, parts[1] AS first, parts[-1] AS last FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+') AS parts FROM documents WHERE text IS NOT NULL)")
+def white_space_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = fn.white_fields(F.col("text"))
+    rows = views.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", parts.alias("parts"))
+    return rows.select("doc_id", F.size("parts").cast("long").alias("n"), F.col("parts")[0].alias("first"), F.element_at("parts", -1).alias("last"))
+
+
+@query("SELECT m, chrom || ':' || pos || ':A:' || alt AS name, len(string_split(alt, ',')) + 1 AS n_alleles, (len(string_split(alt, ',')) + 1) * (len(string_split(alt, ',')) + 2) // 2 AS n_genotypes, len(string_split(ids, ';')) AS n_ids FROM (SELECT *, CASE WHEN w % 3 = 0 THEN 'C' WHEN w % 3 = 1 THEN 'C,G' ELSE 'C,G,T' END AS alt, 'rs' || m || CASE WHEN w % 2 = 0 THEN ';x' ELSE '' END AS ids FROM markers)")
+def marker_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
+    alt = F.when(w % 3 == 0, "C").when(w % 3 == 1, "C,G").otherwise("C,G,T")
+    ids = F.concat(F.lit("rs"), F.col("m").cast("string"), F.when(w % 2 == 0, ";x").otherwise(""))
+    alleles = fn.marker_alleles(F.lit("A"), alt)
+    return views.markers(spark, sf_dir).select("m", fn.marker_name(F.col("chrom").cast("string"), F.col("pos"), F.lit("A"), alt).alias("name"), F.size(alleles).cast("long").alias("n_alleles"), fn.n_genotypes(F.size(alleles)).alias("n_genotypes"), F.size(fn.marker_ids(ids)).cast("long").alias("n_ids"))
+
+
+@query("SELECT m, round(-(exp(-0.04 * 1000 / 200 * pos / 1e6) - 1), 9) AS recomb, round(least(0.5, 0.01 * w)::DOUBLE, 9) AS error FROM markers")
+def imputation_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.markers(spark, sf_dir).select("m", fn.imputation_recombination(1000.0, 200, F.col("pos") / 1e6).alias("recomb"), fn.cluster_error(0.01, F.col("w")).alias("error"))
+    return rounded(rows, "recomb", "error")
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference records with one to three alternative alleles, some rare, some with END."""
+    w, m, h = F.col("w"), F.col("m"), F.col("hap")
+    value = F.when(F.col("a") == 0, 0).otherwise(1 + h % F.when(w % 7 == 0, 3).otherwise(1))
+    rows = views.gt_ref(spark, sf_dir).join(views.markers(spark, sf_dir).select("m", "w"), "m").groupBy("chrom", "pos", "m", "w").agg(F.transform(F.sort_array(F.collect_list(F.struct("hap", value.cast("tinyint").alias("v")))), lambda x: x["v"]).alias("alleles"))
+    alt = F.when(w % 7 == 0, "C,G,T").when(w % 7 == 1, "AT").otherwise("G")
+    return rows.select(F.concat(F.lit("chr"), F.col("chrom").cast("string")).alias("chrom"), "pos", F.concat(F.lit("rs"), m.cast("string")).alias("id"), F.lit("A").alias("ref"), alt.alias("alt"), F.when(w % 7 == 1, F.col("pos") + 5).alias("end"), "alleles")
+
+
+@query("SELECT 'chr' || chrom AS chrom, pos, CASE WHEN w % 7 = 0 THEN 'C,G,T' WHEN w % 7 = 1 THEN 'AT' ELSE 'G' END AS alt, CASE WHEN w % 7 = 1 THEN pos + 5 END AS end, string_agg(CASE WHEN a = 0 THEN 0 ELSE 1 + hap % CASE WHEN w % 7 = 0 THEN 3 ELSE 1 END END::VARCHAR, '' ORDER BY hap) AS alleles FROM gt_ref JOIN markers USING (m, chrom, pos) GROUP BY ALL".replace("string_agg(CASE WHEN a = 0 THEN 0 ELSE 1 + hap % CASE WHEN w % 7 = 0 THEN 3 ELSE 1 END END::VARCHAR", "string_agg((CASE WHEN a = 0 THEN 0 ELSE 1 + hap % CASE WHEN w % 7 = 0 THEN 3 ELSE 1 END END)::VARCHAR"))
+def panel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as a binary panel and read again."""
+    place = _place(spark, "panel").removeprefix("file:") + ".bref3"
+    names = [f"s{r.smp}" for r in views.haps(spark, sf_dir).select("smp").distinct().orderBy("smp").collect()]
+    bref3.write_panel(_records(spark, sf_dir), names, place)
+    return bref3.read_panel(spark, place).select("chrom", "pos", "alt", "end", F.array_join(F.transform("alleles", lambda a: a.cast("string")), "").alias("alleles"))
+
+
+@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))) GROUP BY doc_id")
+def block_gzip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents written as block-gzip parts and read again in many small ranges."""
+    place = _place(spark, "lines").removeprefix("file:")
+    rows = views.table(spark, sf_dir, "documents").where("text is not null and not contains(text, chr(13))").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    bgzf.write_lines(rows.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "line").alias("value")), place)
+    return bgzf.read_lines(spark, place, 100_000).select(F.substring_index("value", "\t", 1).cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT pos, smp, cell, ds FROM (SELECT pos, 's' || smp AS sample, smp, least(a1, 1) || '|' || least(a2, 1) AS cell, CASE WHEN smp % 2 = 0 THEN smp::VARCHAR END AS ds FROM (SELECT m, smp, max(a) AS a1, min(a) AS a2 FROM gt_ref GROUP BY m, smp) JOIN markers USING (m) WHERE chrom = 2)".replace("'s' || smp AS sample, ", ""))
+def full_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subfields of records: GT, and DS where a cell has it."""
+    place = _place(spark, "records")
+    gt = views.gt_ref(spark, sf_dir).where("chrom = 2").groupBy("pos", "smp").agg(F.max("a").alias("a1"), F.min("a").alias("a2"))
+    cell = F.concat_ws(":", F.concat_ws("|", F.col("a1").cast("string"), F.col("a2").cast("string")), F.when(F.col("smp") % 2 == 0, F.col("smp").cast("string")))
+    cells = gt.groupBy("pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("smp", cell.alias("cell")))), lambda x: x["cell"]), "\t").alias("cells"))
+    line = F.concat_ws("\t", F.lit("chr2"), F.col("pos").cast("string"), F.lit("."), F.lit("A"), F.lit("C"), F.lit("7"), F.lit("PASS"), F.lit("X=1"), F.lit("GT:DS"), "cells")
+    smps = [r.smp for r in gt.select("smp").distinct().orderBy("smp").collect()]
+    files.write_vcf(cells.select(F.lit("chr2").alias("chrom"), "pos", line.alias("line")), [f"s{i}" for i in smps], place)
+    read = files.read_records(spark, place).where("qual = '7' and filter = 'PASS' and info = 'X=1'").select("pos", F.posexplode("cells").alias("i", "c"))
+    order = F.array(*map(F.lit, smps))
+    return read.select("pos", F.element_at(order, F.col("i") + 1).alias("smp"), F.col("c")["GT"].alias("cell"), F.col("c")["DS"].alias("ds"))
+
+
+@query("SELECT 'target' AS step, figure, value FROM (SELECT count(*)::DOUBLE AS rows, sum((a1 <> a2)::INT)::DOUBLE AS hets FROM gt_obs) UNPIVOT (value FOR figure IN (rows, hets))")
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts taken while rows are written."""
+    stats = RunStatistics()
+    stats.watch(views.gt_obs(spark, sf_dir), "target", hets="cast(a1 <> a2 as int)").write.parquet(_place(spark, "watched"))
+    return stats.table(spark).where("step = 'target'")
+
+
+def _split_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Haplotypes of every tenth sample as targets, the others as reference, and the markers."""
+    ref = views.gt_ref(spark, sf_dir)
+    return ref.where("smp % 10 = 0"), ref.where("smp % 10 <> 0").select("chrom", "m", "hap", "a"), _mega(spark, sf_dir)
+
+
 @query()
 def impute_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third marker of every tenth sample's haplotypes, imputed from the others."""
-    ref = views.gt_ref(spark, sf_dir)
-    target = ref.where("smp % 10 = 0 and m % 3 = 0").select("chrom", "m", "hap", "a")
-    return hmm.impute(target, ref.where("smp % 10 <> 0").select("chrom", "m", "hap", "a"), _mega(spark, sf_dir))
+    """Every third marker of every tenth sample's haplotypes, imputed from the others in windows: dose of allele 1."""
+    targ, ref, marks = _split_panel(spark, sf_dir)
+    phased = targ.where("m % 3 = 0").groupBy("chrom", "m", "smp").agg(F.max(F.when(F.col("hap") % 2 == 0, F.col("a"))).alias("a1"), F.max(F.when(F.col("hap") % 2 == 1, F.col("a"))).alias("a2"))
+    smps = F.floor(F.col("smp") / 10).cast("int")
+    probs = jobs.impute_windows(phased.withColumn("smp", smps), ref, marks, jobs.Windows(4.0, 0.5), imputation.Options(imp_states=200, imp_step=0.01, imp_segment=0.1))
+    return probs.select("m", "hap", F.col("probs")[1].alias("dose"), "imputed")
 
 
 @query()
 def phase_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unphased genotypes of every tenth sample, phased against the others."""
-    ref = views.gt_ref(spark, sf_dir)
-    pairs = ref.where("smp % 10 = 0").groupBy("m", "smp").agg(F.max("a").alias("a1"), F.min("a").alias("a2"))
-    return hmm.phase(pairs, ref.where("smp % 10 <> 0").select("chrom", "m", "hap", "a"), _mega(spark, sf_dir))
+    """Unphased genotypes of every tenth sample, phased against the others in windows."""
+    targ, ref, marks = _split_panel(spark, sf_dir)
+    pairs = targ.groupBy("chrom", "m", "smp").agg(F.max("a").alias("a1"), F.min("a").alias("a2")).withColumn("smp", F.floor(F.col("smp") / 10).cast("int"))
+    plan = checkpointed(segments.window_plan(marks, 4.0, 0.5))
+    options = phasing.Options(burnin=1, iterations=2, phase_states=40, em_rounds=1)
+    return phasing.phase(pairs, ref, marks, plan, options)[0]

@@ -25,9 +25,9 @@ def haps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gt_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each marker unfolds to all haplotypes: the list of haplotypes is one short row that every marker is given."""
-    every = haps(spark, sf_dir).agg(F.sort_array(F.collect_list(F.struct("hap", "smp"))).alias("all"))
-    rows = markers(spark, sf_dir).join(F.broadcast(every)).select("m", "chrom", "pos", "w", F.explode("all").alias("h")).select("m", "chrom", "pos", "w", "h.hap", "h.smp")
+    """Each marker unfolds to all haplotypes, which come in lists of at most 2000, so no row grows with their number."""
+    lists = haps(spark, sf_dir).groupBy(F.floor(F.col("hap") / 2000).alias("_list")).agg(F.sort_array(F.collect_list(F.struct("hap", "smp"))).alias("all")).select("all")
+    rows = markers(spark, sf_dir).crossJoin(lists).select("m", "chrom", "pos", "w", F.explode("all").alias("h")).select("m", "chrom", "pos", "w", "h.hap", "h.smp")
     value = (F.col("m").cast("long") * 31 + F.col("hap") * 17 + (F.col("m").cast("long") * F.col("hap")) % 101) % 97
     return rows.select("m", "chrom", "pos", "hap", "smp", (value < F.col("w")).cast("int").alias("a"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import genotype as fn
 from strandlake.functions.lcg import Lcg
 from strandlake.operators import counts, filters, hmm, matching, segments
-from strandlake.sources import files
+from strandlake.sources import bgzf, files
 
 
 def test_generator_gives_the_published_sequence():
@@ -61,13 +61,19 @@ def test_window_plan_prints_each_marker_once(spark):
         cm = 0.0
         for m in range(200 if chrom else 1):
             cm += rng.choice([0.0, 0.01, 0.2])
-            rows.append((chrom, chrom * 1000 + m, cm))
-    marks = spark.createDataFrame(rows, "chrom int, m int, cm double")
+            rows.append((chrom, chrom * 1000 + m, round(cm * 1e6), cm))
+    marks = spark.createDataFrame(rows, "chrom int, m int, pos int, cm double")
     plan = segments.window_plan(marks, 4.0, 1.0)
+    capped = segments.window_plan(marks, 4.0, 1.0, max_markers=20)
+    assert capped.where("m_last - m_from >= 20").isEmpty()
+    assert segments.printed_markers(marks, capped).where("window_id is null").count() == 0
+    # twice the cM on the same bases: windows half as long
+    gmap = spark.createDataFrame([(c, p, p / 5e5) for c in range(3) for p in (0, 10**8)], "chrom int, bp int, cm double")
+    assert segments.window_plan(marks.withColumn("cm", F.col("cm") * 2), 4.0, 1.0, gmap).count() > plan.count()
     for chrom in range(3):
         own = sorted(plan.where(F.col("chrom") == chrom).collect(), key=lambda r: r.window_id)
         printed = [m for r in own for m in range(r.print_from, r.print_last + 1)]
-        assert printed == [m for c, m, _ in rows if c == chrom]
+        assert printed == [m for c, m, *_ in rows if c == chrom]
         assert all(a.m_last >= b.m_from - 1 for a, b in zip(own, own[1:], strict=False))
     assert segments.printed_markers(marks, plan).where("window_id is null").count() == 0
 
@@ -155,21 +161,7 @@ def test_phasing_keeps_genotypes_and_finds_the_phase():
     assert (hmm.phase_hets(gone, np.where(gone < 0, -1, a2), panel, np.full(300, 0.02), 0.001)[0][:3] == -1).all()
 
 
-def test_imputation_recovers_masked_markers(spark):
-    rng = np.random.default_rng(5)
-    panel = rng.integers(0, 2, (120, 30))
-    truth = np.stack([mosaic(rng, panel, 0.01) for _ in range(5)])
-    ref = spark.createDataFrame(pd.DataFrame([(0, m, h, panel[m, h]) for m in range(120) for h in range(30)], columns=["chrom", "m", "hap", "a"])).select(*(F.col(c).cast("int").alias(c) for c in ("chrom", "m", "hap", "a")))
-    target = spark.createDataFrame([(0, m, h, int(truth[h, m])) for m in range(0, 120, 2) for h in range(5)], "chrom int, m int, hap int, a int")
-    marks = spark.createDataFrame([(m, m * 0.01) for m in range(120)], "m int, cm double")
-    got = hmm.impute(target, ref, marks, ne=1500.0, haps_per_batch=2).collect()
-    assert len(got) == 600
-    wrong = sum((r.dose >= 0.5) != truth[r.hap, r.m] for r in got)
-    assert wrong < 40 and all(r.dose == truth[r.hap, r.m] for r in got if not r.imputed)
-    assert all(-1e-6 <= r.dose <= 1 + 1e-6 for r in got)
-
-
-VCF = ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3", "1\t10\trs1\tA\tC,G\t.\tPASS\tEND=12;X=1\tGT:DP\t0|2:3\t./1\t1", "", "1\t20\t.\tT\t.\t.\t.\t.\tGT\t0/0\t.|.\t."]
+VCF = ["##fileformat=VCFv4.2", "##source=\"x=y\"", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3", "1\t10\trs1\tA\tC,G\t.\tPASS\tEND=12;X=1\tGT:DP\t0|2:3\t./1\t1", "", "1\t20\t.\tT\t.\t.\t.\t.\tGT\t0/0\t.|.\t."]
 
 
 @pytest.mark.parametrize("suffix", ["", ".gz", ".bgz"])
@@ -177,7 +169,13 @@ def test_vcf_records(spark, tmp_path, suffix):
     path = f"{tmp_path}/x.vcf{suffix}"
     raw = "\n".join(VCF).encode() + b"\n"
     with open(path, "wb") as out:
-        out.write(gzip.compress(raw[:100]) + gzip.compress(raw[100:]) if suffix else raw)
+        out.write(raw if not suffix else gzip.compress(raw[:100]) + gzip.compress(raw[100:]) if suffix == ".gz" else bgzf.block(raw[:100]) + bgzf.block(raw[100:]) + bgzf.END_BLOCK)
+    assert [tuple(r) for r in files.meta_lines(spark, path).collect()] == [("fileformat", "VCFv4.2"), ("source", '"x=y"')]
+    assert [r.is_diploid for r in files.vcf_ploidy(spark, path).orderBy("smp").collect()] == [True, True, False]
+    cells = {r.pos: r.cells for r in files.read_records(spark, path).collect()}
+    assert cells[10][0] == {"GT": "0|2", "DP": "3"} and cells[10][1] == {"GT": "./1"}
+    with pytest.raises(Exception, match="unphased reference genotype"):
+        files.read_reference(spark, path)[1].collect()
     markers, gt = files.read_vcf(spark, path)
     assert [tuple(r) for r in markers.orderBy("pos").collect()] == [("1", 10, "rs1", "A", "C,G", "12"), ("1", 20, ".", "T", ".", "")]
     got = {(r.pos, r.smp): (r.a1, r.a2, r.phased, r.diploid) for r in gt.collect()}
@@ -199,6 +197,11 @@ def test_imputed_records(spark):
     s, q, n = 2.25, 0.25 + 0.5625 + 1, 4
     assert got[10][7] == f"DR2={(q - s * s / n) / (s - s * s / n):.2f};AF=0.5625;END=12;IMP" and got[20][7] == "DR2=1.00;AF=0.2500"
     assert got[10][9:] == ["0|1:1.25:0.5:0.75:0.12,0.5,0.38", "0|1:1:0:1:0,1,0"] and got[20][9:] == ["0|0:0:0:0:1,0,0", "0|1:1:0:1:0,1,0"]
+    probs = [(1, 0, [0.2, 0.7, 0.1], True), (1, 1, [0.5, 0.0, 0.5], True)]
+    more = files.imputed_lines(marks.where("m = 1").withColumn("alt", F.lit("C,G")), spark.createDataFrame(probs, "m int, hap int, probs array<double>, imputed boolean"), ap=True, gp=True)
+    own = more.first().line.split("\t")
+    r2 = [(q - s * s / 2) / (s - s * s / 2) for s, q in ((0.7, 0.49), (0.6, 0.26))]
+    assert own[7] == f"DR2={r2[0]:.2f},{max(r2[1], 0):.2f};AF=0.3500,0.3000;END=12;IMP" and own[9] == "1|0:0.7,0.6:0.7,0.1:0,0.5:0.1,0.35,0,0.15,0.35,0.05"
     texts = spark.createDataFrame([(0.00015, None)], "a double, b double").select(fn.fixed_text(F.col("a"), 4).alias("a"), fn.fixed_text(F.col("b"), 2).alias("b")).first()
     assert tuple(texts) == (f"{0.00015:.4f}", None)
 
