@@ -62,6 +62,15 @@ def carrier_lists(gt: DataFrame, n_samples: int, rare: float = 0.002) -> DataFra
     return sized.join(lists, ["m", "a"], "left").select("m", "a", "carriers", kind.alias("kind"), "samples")
 
 
+def haplotype_lists(gt: DataFrame, most: int) -> DataFrame:
+    """(m, a, n, haps): how many haplotypes carry each allele of ``gt(m, hap, a)``, and their sorted list where there are ``most`` or fewer."""
+    rows = gt.where("a >= 0").select("m", "hap", "a")
+    sized = rows.groupBy("m", "a").agg(F.count("*").alias("n"))
+    few = sized.where(F.col("n") <= most).select("m", "a")
+    lists = rows.join(few, ["m", "a"]).groupBy("m", "a").agg(F.array_join(F.sort_array(F.collect_list("hap")), ",").alias("haps"))
+    return sized.join(lists, ["m", "a"], "left")
+
+
 def em_estimates(rows: DataFrame) -> DataFrame:
     """One row (p_mismatch, intensity) from ``rows(markers, mismatch, distance, switch)``, one for each haplotype.
 

@@ -101,6 +101,11 @@ def carrier_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.carrier_lists(views.gt_obs(spark, sf_dir), n_samples=90, rare=0.1)
 
 
+@query("SELECT m, a, count(*) AS n, CASE WHEN count(*) <= 20 THEN string_agg(hap::VARCHAR, ',' ORDER BY hap) END AS haps FROM gt_ref GROUP BY m, a")
+def haplotype_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.haplotype_lists(views.gt_ref(spark, sf_dir), 20)
+
+
 @query("SELECT m, smp, CASE WHEN a1 < 0 OR a2 < 0 THEN 'missing' WHEN a1 = a2 THEN 'hom' WHEN smp % 2 = 0 THEN 'phased_het' ELSE 'het' END AS kind FROM gt_obs")
 def genotype_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.gt_obs(spark, sf_dir).select("m", "smp", fn.genotype_class(F.col("a1"), F.col("a2"), F.col("smp") % 2 == 0).alias("kind"))
@@ -359,10 +364,10 @@ def ibs2_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.ibs2_steps(_mega(spark, sf_dir), 10)
 
 
-#: Windows of 0.4 cM with an overlap of 0.1 cM; positions run from 0 in each chromosome, numbered from 0.
-_WINDOWS = """placed AS MATERIALIZED (SELECT chrom, m, pos, row_number() OVER (PARTITION BY chrom ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY chrom) AS n FROM markers), cut AS (
-  SELECT p.chrom, p.i, p.n, (SELECT count(*) FROM placed q WHERE q.chrom = p.chrom AND q.pos < floor((p.pos / 1e6 + 0.4) * 1e6 + 0.5)) AS first_end, (SELECT count(*) FROM placed q WHERE q.chrom = p.chrom AND q.pos < floor((p.pos / 1e6 + (0.4 - 0.1)) * 1e6 + 0.5)) AS next_end,
-    (SELECT count(*) FROM placed q WHERE q.chrom = p.chrom AND q.pos < floor((p.pos / 1e6 - 0.1) * 1e6 + 0.5)) AS back FROM placed p
+#: Windows of 0.4 cM with an overlap of 0.1 cM at one cM for each million bases; ``first_end`` and ``next_end`` are markers before the window's end, ``back`` before its overlap.
+_WINDOWS = """placed AS MATERIALIZED (SELECT chrom, m, pos, row_number() OVER (PARTITION BY chrom ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY chrom) AS n FROM markers), cut AS MATERIALIZED (
+  SELECT chrom, i, n, count(*) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 399999 FOLLOWING) AS first_end,
+    count(*) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 299999 FOLLOWING) AS next_end, count(*) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 100001 PRECEDING) AS back FROM placed
 ), wins AS (
   SELECT c.chrom, 0 AS k, 0::BIGINT AS s, 0::BIGINT AS r, greatest(c.first_end, 1) AS e, c.n FROM cut c WHERE c.i = 0 UNION ALL
   SELECT w.chrom, w.k + 1, greatest(b.back, w.s), w.e, greatest(x.next_end, w.e + 1), w.n FROM wins w JOIN cut b ON b.chrom = w.chrom AND b.i = w.e - 1 JOIN cut x ON x.chrom = w.chrom AND x.i = w.e WHERE w.e < w.n
@@ -371,7 +376,8 @@ _WINDOWS = """placed AS MATERIALIZED (SELECT chrom, m, pos, row_number() OVER (P
 )"""
 
 
-@query("SELECT p.chrom, p.window_id::BIGINT AS window_id, a.m AS m_from, b.m AS m_last, c.m AS print_from, d.m AS print_last FROM plan p JOIN placed a ON a.chrom = p.chrom AND a.i = s JOIN placed b ON b.chrom = p.chrom AND b.i = e - 1 JOIN placed c ON c.chrom = p.chrom AND c.i = pf JOIN placed d ON d.chrom = p.chrom AND d.i = pl", _WINDOWS)
+@query("""SELECT p.chrom, p.window_id::BIGINT AS window_id, max(m) FILTER (i = s) AS m_from, max(m) FILTER (i = e - 1) AS m_last, max(m) FILTER (i = pf) AS print_from, max(m) FILTER (i = pl) AS print_last
+  FROM plan p JOIN placed q ON q.chrom = p.chrom AND q.i BETWEEN s AND e - 1 GROUP BY ALL""", _WINDOWS)
 def window_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.window_plan(_mega(spark, sf_dir), 0.4, 0.1)
 
@@ -507,6 +513,22 @@ def imputed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.imputed_lines(marks, doses, ap=True)
 
 
+@query("""SELECT chrom, step, hap, min(other) AS other FROM (SELECT x.chrom, x.hap, y.hap AS other, x.m // 40 + back AS step, back FROM rare x JOIN rare y ON x.m = y.m AND x.smp <> y.smp CROSS JOIN (SELECT range AS back FROM range(3)) b)
+  GROUP BY chrom, step, hap HAVING count(DISTINCT other) = 1 AND min(back) = 0""", "rare AS (SELECT g.m, g.chrom, hap, smp FROM gt_ref g JOIN (SELECT m FROM gt_ref WHERE a = 1 GROUP BY m HAVING count(*) <= 6) USING (m) WHERE a = 1)")
+def rare_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Haplotypes whose only neighbour by rare alleles, in a step or two before it, carries one in the step itself."""
+    ref = views.gt_ref(spark, sf_dir)
+    few = ref.where("a = 1").groupBy("m").agg(F.count("*").alias("n")).where("n <= 6").select("m")
+    step = F.floor(F.col("m") / 40)
+    rare = ref.where("a = 1").join(few, "m").select(F.col("chrom").alias("line"), step.alias("step"), "m", "a", "hap", "smp")
+    asked = rare.select("line", "hap", F.explode(F.sequence(F.col("step"), F.col("step") + 2)).alias("step")).distinct().select("line", "step", "hap", F.lit(-1).alias("ibs_hap"))
+    found = matching.rare_choices(rare, asked, 2).where("ibs_hap >= 0")
+    # all that were met, to keep those with one neighbour only
+    met = rare.alias("x").join(rare.alias("y"), "m").where("x.smp <> y.smp").select(F.col("x.line").alias("line"), F.col("x.hap").alias("hap"), F.col("y.hap").alias("other"), F.col("x.step").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("back"))
+    single = met.groupBy("line", "hap", (F.col("s") + F.col("back")).alias("step")).agg(F.count_distinct("other").alias("n"), F.min("back").alias("near")).where("n = 1 and near = 0")
+    return found.join(single.select("line", "hap", "step"), ["line", "hap", "step"]).select(F.col("line").alias("chrom"), "step", "hap", F.col("ibs_hap").alias("other"))
+
+
 @query()
 def prefix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.prefix_neighbours(views.gt_ref(spark, sf_dir), ["chrom"])

@@ -3,6 +3,7 @@
 import gzip
 import math
 import random
+import struct
 
 import numpy as np
 import pandas as pd
@@ -19,9 +20,15 @@ def test_generator_gives_the_published_sequence():
     """First draws of seed 42."""
     draws = Lcg(42)
     assert [draws.integer() for _ in range(4)] == [-1170105035, 234785527, -1360544799, 205897768]
+    # fixed values: one generator, drawn from in turn
     draws = Lcg(42)
-    first = [draws.below(100) for _ in range(5)]
-    assert all(0 <= x < 100 for x in first) and first == [Lcg(42).below(100), *first[1:]]
+    assert [draws.integer() for _ in range(8)] == [-1170105035, 234785527, -1360544799, 205897768, 1325939940, -248792245, 1190043011, -1255373459]
+    assert [draws.below(100) for _ in range(8)] == [19, 93, 82, 2, 76, 92, 76, 32]
+    assert [draws.below(64) for _ in range(8)] == [29, 48, 50, 63, 58, 9, 27, 28]
+    assert [draws.long() for _ in range(4)] == [-4613416830416070574, 7130900098642117381, 3272055439932147596, -7482923245497525943]
+    assert [struct.unpack(">q", struct.pack(">d", draws.double()))[0] for _ in range(4)] == [4596725693450382048, 4605614858730985891, 4595372825410515644, 4603466295020716390]
+    assert [draws.boolean() for _ in range(8)] == [True, True, True, False, True, False, True, True]
+    assert Lcg(3).shuffled(list(range(30)), 5)[:5] == Lcg(3).shuffled(list(range(30)))[:5]
     assert sorted(Lcg(1).shuffled(list(range(30)))) == list(range(30))
     assert 0 <= Lcg(5).double() < 1 and isinstance(Lcg(5).boolean(), bool) and -(2**63) <= Lcg(5).long() < 2**63
     with pytest.raises(ValueError):
@@ -185,6 +192,9 @@ def test_vcf_records(spark, tmp_path, suffix):
     assert {(r.pos, r.smp): r.a1 for r in some.collect()} == {(10, 0): -1, (10, 1): 1, (20, 0): -1, (20, 1): -1}
     with pytest.raises(ValueError, match="excluded"):
         files.read_vcf(spark, path, exclude=("s1", "s2", "s3"))
+    odd = files.ploidy_faults(gt, files.vcf_ploidy(spark, path)).collect()
+    assert [(r.pos, r.smp) for r in odd] == []
+    assert files.ploidy_faults(gt.withColumn("diploid", F.lit(True)), files.vcf_ploidy(spark, path)).count() == 2
 
 
 def test_imputed_records(spark):
@@ -211,6 +221,9 @@ def test_small_files(spark, tmp_path):
     gmap = files.read_map(spark, str(tmp_path / "map"))
     assert gmap.count() == 4 and [r.bp for r in files.map_faults(gmap).collect()] == [300]
     assert files.read_map(spark, str(tmp_path / "map"), "2").count() == 1
+    with pytest.raises(ValueError, match="1:300"):
+        files.read_map(spark, str(tmp_path / "map"), checked=True)
+    assert files.read_map(spark, str(tmp_path / "map"), "2", checked=True).count() == 1
     (tmp_path / "ids").write_text(" a \n\nb\na\n")
     assert {r.id for r in files.read_ids(spark, str(tmp_path / "ids")).collect()} == {"a", "b"}
     (tmp_path / "bad").write_text("a b\n")
