@@ -54,6 +54,16 @@ def remove(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Folders of :func:`stored` that nobody has removed yet.
+_MADE: list[str] = []
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes the folders that :func:`stored` has made in this process; only when all that reads them has been written elsewhere."""
+    while _MADE:
+        remove(spark, _MADE.pop())
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder; its lineage ends there, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -67,6 +77,7 @@ def stored(df: DataFrame, uid: str) -> DataFrame:
     decision made on numbers of the written table holds for every later scan of it.
     """
     place = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    _MADE.append(place)
     df.withColumn(uid, F.monotonically_increasing_id()).write.parquet(place)
     return df.sparkSession.read.parquet(place)
 

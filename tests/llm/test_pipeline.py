@@ -38,3 +38,20 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     want = Counter({(i, len(plain.encode_ordinary(t or ""))): times[i] for i, t, _ in rows if times[i]})
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert all(r.round_trip for r in got) and Counter((r.doc_id, r.n_tokens) for r in got) == want
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No rows; and columns named like those that the stages make, with null ids, repeated rows and texts without words."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/none/labels.parquet")
+    documents(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rows = [(1, "one two three four five six", "a"), (1, "one two three four five six", "a"), (None, None, None), (None, "", "b"), (3, " \t", "a"), (4, "another text of its own words", None)]
+    odd = documents(spark, rows).selectExpr("*", "1 as uid", "2 as block", "3 as mask", "4 as times", "5 as Node", "6 as root", "7 as id")
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/odd/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/odd")
+        assert docs.columns == odd.columns
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()} == {1, 4}

@@ -195,6 +195,19 @@ def test_pii_query(spark, tmp_path):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
 
 
+def test_odd_tables(spark, tagger):
+    """Personal data and quality: no rows, repeated rows, columns with clashing names, a very long text."""
+    rows = [(1, "x 4111111111111111 y", "en"), (1, "x 4111111111111111 y", "en"), (None, None, None), (2, "word 1.2.3.4 " * 5000, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as s", "2 as c", "3 as h", "4 as score", "5 as n_words", "6 as kept", "7 as id", "8 as y")
+    spans = docs.select("doc_id", pii.find_spans(F.col("text"), tagger).alias("found")).collect()
+    assert sorted((r.doc_id or 0, len(r.found)) for r in spans) == [(0, 0), (1, 1), (1, 1), (2, 5000)]
+    assert docs.limit(0).select(pii.find_spans(F.col("text"), tagger)).count() == 0
+    assert pii.corpus_samples(docs.limit(0)) == []
+    labels = spark.createDataFrame([(1, 1, 0)], LABELS)
+    judged = quality.judge_quality(docs, quality.train(docs, labels)).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.base_failed) for r in judged) == [(0, 0, True), (1, 3, True), (1, 3, True), (2, 10_000, True)]
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.COM/en/7x?q", "https://x.com/en/", "com/en/", None, "", "ftp://net/de/1#f", "http://example.net/de/8", "http://notexample.net/de/8", "http://org?x/es/", "http://b.org/es/a?b", "http://x.com/en", "a://b://c/d", "http://com/en/\nx", "http://x.org/es/" + "y/" * 50_000]
     pages = spark.createDataFrame(list(enumerate(urls)) * 2, "page_id long, url string").withColumns({c: F.lit(0) for c in ("host", "id", "uid", "token", "tokens", "verdict", "key")})
