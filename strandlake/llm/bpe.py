@@ -6,6 +6,10 @@ applies to, by the merge's rank, to the places where it stands. Merges are repla
 rank order; each touches only its places and the pairs beside them. Every distinct word is
 so encoded once, however often it occurs, and its ids are kept for later batches.
 
+There are two forms. :func:`encode` and :func:`round_trip` take a batch for the corpus: nothing is
+shuffled, and a word is replayed again by each worker. :func:`encode_corpus` takes the whole
+table: its distinct words are dealt out by word, replayed once, and joined back to the texts.
+
 Vocabularies are read from a path, never trained.
 """
 
@@ -22,18 +26,19 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import values
+from .common import stored, values
 
 #: Words whose ids a Python worker keeps, in two generations of which the older goes first.
 KEPT_WORDS = 200_000
 #: Texts are split, and their new words replayed together, when they reach so many characters.
 _BLOCK_CHARS = 4_000_000
-#: Longer words are replayed one symbol at a time; arrays serve the many short ones.
-_LONG = 200
+#: Longer words are replayed one symbol at a time; arrays serve the many short ones. Both give the same ids:
+#: arrays apply one place of a merge in a word at a time, so their cost grows with the square of a word's length, and they cost too much for few words.
+_LONG, _FEW_BYTES = 200, 20_000
 
 #: Fixed value: the split pattern of the byte-level vocabularies.
 _KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -215,7 +220,7 @@ class MergeReplay:
             else:
                 short.append(word)
                 raws.append(raw)
-        if sum(map(len, raws)) < 20_000:
+        if sum(map(len, raws)) < _FEW_BYTES:
             coded = [np.array(ids, "<u4").tobytes() for ids in self.replay(raws)] if raws else []
         else:
             coded = self.replay_arrays(raws)
@@ -297,3 +302,56 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
 
 def id_count(ids: Column) -> Column:
     return (F.coalesce(F.octet_length(ids), F.lit(0)) / 4).cast("long")
+
+
+def encode_corpus(docs: DataFrame, path: str, pattern: str, text_col: str = "text", per_block: int = 512) -> DataFrame:
+    """``docs`` with ``ids``, as :func:`encode` gives them, each distinct word of the table being replayed once.
+
+    Texts are taken in blocks of ``per_block`` rows of a stored copy. The distinct words of each block are dealt out by word, and a task replays the
+    distinct ones it gets, as one corpus with its inverted index, in stretches of a bounded size; ids go back to every block that has
+    the word, and blocks are put together there. A task holds a block's texts and words, never the dictionary of the corpus. A word that every
+    block has is one row for each block. Null and empty texts have empty ids; repeated rows are encoded each; an
+    empty table gives no rows; other columns are carried along unless they are called ids.
+    """
+    rows = stored(docs.drop("ids"), "_uid").withColumn("_block", F.floor(F.col("_uid") / per_block))
+
+    def distinct(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        known, at, found = replayer(path, pattern), None, set()
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"_block": pa.array([at] * len(found), pa.int64()), "word": pa.array(sorted(found), pa.string())})
+
+        for batch in batches:
+            for block, text in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
+                if block != at:
+                    if found:
+                        yield done()
+                    at, found = block, set()
+                found.update(known.pieces(text or ""))
+        if found:
+            yield done()
+
+    def replayed(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        known = replayer(path, pattern)
+        for batch in batches:
+            # rows come in the order of words, so a word is in one batch or in two that follow each other
+            words = batch.column(1).to_pylist()
+            new = sorted(set(words) - known.kept.keys())
+            known.learn(new)
+            yield pa.RecordBatch.from_pydict({"_block": batch.column(0), "word": batch.column(1), "ids": pa.array([known.kept[w] for w in words], pa.binary())})
+            known.kept = {words[-1]: known.kept[words[-1]]} if words else {}
+
+    pairs = rows.select("_block", text_col).mapInArrow(distinct, "_block bigint, word string")
+    # a block that a scan has split says a word twice
+    coded = pairs.repartition("word").sortWithinPartitions("word").mapInArrow(replayed, "_block bigint, word string, ids binary")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("_uid", "_block"))
+    kept = [f.name for f in rows.schema.fields if f.name not in ("_uid", "_block")]
+
+    def joined(texts: pa.Table, words: pa.Table) -> pa.Table:
+        known = replayer(path, pattern)
+        ids = dict(zip(words["word"].to_pylist(), words["ids"].to_pylist(), strict=True))
+        coded = [b"".join(map(ids.__getitem__, known.pieces(t))) if t else b"" for t in texts[text_col].to_pylist()]
+        return texts.select(kept).append_column("ids", pa.array(coded, pa.binary()))
+
+    words = coded.select(F.col("_block").alias("_b"), "word", "ids")
+    return rows.groupBy("_block").cogroup(words.groupBy("_b")).applyInArrow(joined, f"{schema}, ids binary")
