@@ -54,14 +54,17 @@ def remove(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Folders of :func:`stored` that nobody has removed yet.
-_MADE: list[str] = []
+#: Folders of :func:`stored`, in the order in which this process made them.
+MADE: list[str] = []
 
 
-def clear_stored(spark: SparkSession) -> None:
-    """Deletes the folders that :func:`stored` has made in this process; only when all that reads them has been written elsewhere."""
-    while _MADE:
-        remove(spark, _MADE.pop())
+def clear_stored(docs: DataFrame, places: list[str]) -> None:
+    """Deletes those folders of ``places`` that ``docs`` does not read, and takes them off the list."""
+    if places:
+        read = {m for f in docs.inputFiles() for m in re.findall(r"/rows-[0-9a-f]{32}/", f)}
+        for place in [p for p in places if f"/{p.rpartition('/')[2]}/" not in read]:
+            remove(docs.sparkSession, place)
+            places.remove(place)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def stored(df: DataFrame, uid: str) -> DataFrame:
     decision made on numbers of the written table holds for every later scan of it.
     """
     place = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    _MADE.append(place)
+    MADE.append(place)
     df.withColumn(uid, F.monotonically_increasing_id()).write.parquet(place)
     return df.sparkSession.read.parquet(place)
 
