@@ -61,7 +61,8 @@ def _fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other |= ~pc.equal(column.slice(1), column.slice(0, rows.num_rows - 1)).to_numpy().astype(bool)
         first = np.concatenate([[0], np.flatnonzero(other) + 1])
         sums = np.add.reduceat(rows["n"].to_numpy(), first)
-        fused = rows.take(pa.array(first)).set_column(rows.schema.get_field_index("n"), "n", pa.array(sums, pa.int64()))
+        at = rows.schema.get_field_index("n")
+        fused = rows.take(pa.array(first)).set_column(at, rows.schema.field(at), pa.array(sums, pa.int64()))
         held = fused.slice(fused.num_rows - 1)
         yield from fused.slice(0, fused.num_rows - 1).to_batches()
     if held is not None:

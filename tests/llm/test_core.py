@@ -126,8 +126,10 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("fan_in", [2, 16])
-def test_exact_groups(spark, fan_in):
+@pytest.mark.parametrize(("fan_in", "batch"), [(2, 7), (16, 10_000)])
+def test_exact_groups(spark, fan_in, batch):
+    """Also where a partition comes in many Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     rows = odd_rows()
     got = sorted(exact.exact_groups(documents(spark, rows).repartition(5), fan_in=fan_in).collect(), key=lambda r: (r.text_sha256, r.doc_id is None, r.doc_id or 0))
     groups = {}
@@ -138,6 +140,7 @@ def test_exact_groups(spark, fan_in):
         want += [(i, min(members)[2], len(members), hashlib.sha256(text.encode()).hexdigest()) for _, _, i in members]
     assert [(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got] == sorted(want, key=lambda r: (r[3], r[0] is None, r[0] or 0))
     assert sum(r.kept for r in got) == len(groups)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_runs_are_sorted_and_merge_in_rounds(spark):
@@ -210,6 +213,9 @@ def test_tokens_equal_the_public_library(spark):
     texts += ["".join(rng.choices("abcdefgh tions éñß,.'1\n　" + chr(rng.randrange(256, 2000)), k=rng.randrange(200))) for _ in range(400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
     coded = docs.withColumn("ids", bpe.encode(F.col("text"), path, pattern)).withColumn("back", bpe.decode(F.col("ids"), path, pattern))
+    whole = bpe.encode_corpus(docs.withColumn("ids", F.lit(0)), path, pattern, per_block=40)
+    assert sorted(map(tuple, whole.select("i", "text", "ids").collect()), key=str) == sorted(map(tuple, coded.select("i", "text", "ids").collect()), key=str)
+    assert bpe.encode_corpus(docs.limit(0), path, pattern).count() == 0
     both = docs.withColumn("r", bpe.round_trip(F.col("text"), path, pattern)).select(docs.columns[0], "r.ids", "r.decoded")
     assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, coded.select(docs.columns[0], "ids", "back").collect()), key=str)
     for r in coded.collect():
