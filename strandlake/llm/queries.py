@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, licences, mixing, pii, quality, simhash, toxicity, url_rules, warc
+from . import bpe, bpe_rounds, exact, licences, mixing, pii, quality, simhash, toxicity, url_rules, warc
 from .common import crc_fold, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -73,9 +73,16 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), licences.corpus_path()).drop("uid")
 
 
+def op12_round_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = vocabulary("byte_bpe_50k.json")
+    coded = table(spark, sf_dir, "documents").select("doc_id", bpe_rounds.word_round_trip(F.col("text"), path).alias("r"))
+    decimal = F.array_join(F.col("r.ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("r.decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_simhash, op3_exact_dedup, op4_toxicity, op5_warc, op6_pii, op7_byte_bpe, op8_url_rules, op9_quality_rules, op10_licences)
+    for f in (op1_mix_sources, op2_simhash, op3_exact_dedup, op4_toxicity, op5_warc, op6_pii, op7_byte_bpe, op8_url_rules, op9_quality_rules, op10_licences, op12_round_bpe)
 }
 
 ORACLE_SQL = {
