@@ -115,9 +115,14 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def crc_of(doc_id: str | Column) -> Column:
+    """Unsigned crc32 of the id as text, null for a null id."""
+    return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary"))
+
+
 def crc_fold(doc_id: str | Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+    return F.coalesce(crc_of(doc_id), F.lit(0)) % folds  # the crc of the empty text is 0
 
 
 def crc_fold_py(doc_id: object, folds: int = 5) -> int:

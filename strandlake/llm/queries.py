@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bpe_rounds, exact, licences, mixing, pii, quality, simhash, toxicity, url_rules, warc
-from .common import crc_fold, table
+from . import bpe, bpe_rounds, exact, licences, merkle, mixing, pii, quality, simhash, toxicity, url_rules, warc
+from .common import crc_fold, crc_of, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -80,9 +80,17 @@ def op12_round_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("r.decoded", 256).alias("decoded_sha256"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = merkle.row_hash("doc_id", "source", "lang", "n_chars", "text")
+    tampered = merkle.row_hash("doc_id", "source", "lang", F.col("n_chars") + 1, "text")
+    rows = docs.select("doc_id", "lang", leaf.alias("leaf"), F.when(crc_of("doc_id") % 7 == 0, tampered).alias("offered"))
+    return merkle.manifest(rows, "lang", "doc_id").select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_simhash, op3_exact_dedup, op4_toxicity, op5_warc, op6_pii, op7_byte_bpe, op8_url_rules, op9_quality_rules, op10_licences, op12_round_bpe)
+    for f in (op1_mix_sources, op2_simhash, op3_exact_dedup, op4_toxicity, op5_warc, op6_pii, op7_byte_bpe, op8_url_rules, op9_quality_rules, op10_licences, op12_round_bpe, op13_manifest)
 }
 
 ORACLE_SQL = {
@@ -120,5 +128,42 @@ WITH rows AS (
   FROM rows WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST)
 )
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
+""",
+    "op13_manifest": r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, n_chars, list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text], lambda x: coalesce(strlen(x)::VARCHAR || ':' || x, '-')) AS f,
+    list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+  FROM documents
+), rows AS (
+  SELECT doc_id, lang, sha256(array_to_string(f, '')) AS leaf, coalesce(xor(crc, 4294967295) % 7 = 0, false) AS changed,
+    CASE WHEN n_chars IS NULL THEN f[4] ELSE strlen((n_chars + 1)::VARCHAR)::VARCHAR || ':' || (n_chars + 1)::VARCHAR END AS other, f FROM fields
+), leaves AS (
+  SELECT doc_id, lang, leaf, CASE WHEN changed THEN sha256(f[1] || f[2] || f[3] || other || f[5]) ELSE leaf END AS offered,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS n FROM rows
+), nodes AS (
+  SELECT coalesce('=' || lang, '') AS tree, 0 AS level, rank, leaf AS node, n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, rank // 2, sha256(string_agg(node, '' ORDER BY rank)), any_value((n + 1) // 2) FROM nodes WHERE n > 1 GROUP BY tree, level, rank // 2
+), tops AS (
+  SELECT tree, node AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS rank, count(*) OVER () AS n FROM nodes WHERE n = 1
+), over AS (
+  SELECT 0 AS level, rank, subroot AS node, n FROM tops
+  UNION ALL
+  SELECT level + 1, rank // 2, sha256(string_agg(node, '' ORDER BY rank)), any_value((n + 1) // 2) FROM over WHERE n > 1 GROUP BY level, rank // 2
+), steps AS (
+  SELECT tree, level, rank, CASE WHEN rank % 2 = 0 THEN 'r' ELSE 'l' END || coalesce((SELECT o.node FROM nodes o WHERE o.tree = a.tree AND o.level = a.level AND o.rank = xor(a.rank, 1)), '') AS step FROM nodes a WHERE n > 1
+), over_steps AS (
+  SELECT level, rank, CASE WHEN rank % 2 = 0 THEN 'r' ELSE 'l' END || coalesce((SELECT o.node FROM over o WHERE o.level = a.level AND o.rank = xor(a.rank, 1)), '') AS step FROM over a WHERE n > 1
+), top_paths AS (
+  SELECT t.tree, any_value(subroot) AS subroot, coalesce(list(step ORDER BY level) FILTER (step IS NOT NULL), []) AS path FROM tops t LEFT JOIN over_steps s ON s.rank = t.rank >> s.level::BIGINT GROUP BY t.tree
+), paths AS (
+  SELECT doc_id, l.leaf, l.offered, l.lang, l.rank, coalesce(list(step ORDER BY level) FILTER (step IS NOT NULL), []) AS path
+  FROM leaves l LEFT JOIN steps s ON s.tree = coalesce('=' || l.lang, '') AND s.rank = l.rank >> s.level::BIGINT GROUP BY ALL
+), whole AS (
+  SELECT doc_id, leaf, offered, subroot, (SELECT node FROM over WHERE n = 1) AS root, list_concat(p.path, t.path) AS path FROM paths p JOIN top_paths t ON t.tree = coalesce('=' || p.lang, '')
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: substr(s, 2)), '')) AS proof_sha256,
+  list_reduce(list_prepend(offered, path), lambda node, s: sha256(CASE WHEN s[1] = 'r' THEN node || substr(s, 2) ELSE substr(s, 2) || node END)) AS folded_root, folded_root = root AS verified FROM whole
 """,
 }
