@@ -5,7 +5,8 @@ all places of its lowest-ranked pair at once; the rank and the outcome of a pair
 binary search over the sorted keys of all mergeable pairs. Words that have no pair left leave the array.
 A word longer than twice the longest token merges in the same round every place whose rank
 is the lowest within that token's length: merges further away cannot reach it before its turn,
-since a merge only makes pairs of later ranks and a token never grows longer. So the
+since a merge only makes pairs of later ranks and a token never grows longer. Where one pair
+stands again and again, as in a run of one letter, its first place decides for all. So the
 rounds of a very long word do not grow with its length.
 
 Vocabularies are files of the tokenizers library, read from a path and never trained.
@@ -97,11 +98,11 @@ def merge_rounds(symbols: np.ndarray, starts: np.ndarray, pairs: PairTable, reac
                 symbols, word, ranks, hit = symbols[~over], word[~over], ranks[~over], hit[~over]
                 if not len(symbols):
                     break
-        at = np.flatnonzero(hit)
-        # of places that touch, and so are one pair of one symbol, every second goes from the left on
-        run = np.append(True, (at[1:] != at[:-1] + 1) | (ranks[at[1:]] != ranks[at[:-1]]))
-        first = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
-        at = at[(at - first) % 2 == 0]
+        # of places of one rank that touch, and so are one pair of one symbol, every second goes from the left on;
+        # none goes while the first of them may still lose its symbol to a merge on its left
+        first = np.maximum.accumulate(np.where(np.append(True, ranks[1:] != ranks[:-1]), np.arange(len(ranks)), 0))
+        at = np.flatnonzero(hit & hit[first])
+        at = at[(at - first[at]) % 2 == 0]
         symbols[at] = pairs.made[ranks[at]]
         ranks[at] = _NEVER  # places that need a new rank
         keep = np.ones(len(symbols), bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bpe_rounds, exact, licences, merkle, mixing, pii, quality, simhash, toxicity, url_rules, warc
+from . import alignment, bpe, bpe_rounds, exact, licences, merkle, mixing, pii, quality, simhash, toxicity, url_rules, warc
 from .common import crc_fold, crc_of, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -73,6 +73,12 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), licences.corpus_path()).drop("uid")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (vocabulary(name)[0] for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    rows = alignment.link_statistics(table(spark, sf_dir, "documents"), a, b)
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op12_round_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, _ = vocabulary("byte_bpe_50k.json")
     coded = table(spark, sf_dir, "documents").select("doc_id", bpe_rounds.word_round_trip(F.col("text"), path).alias("r"))
@@ -90,7 +96,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_simhash, op3_exact_dedup, op4_toxicity, op5_warc, op6_pii, op7_byte_bpe, op8_url_rules, op9_quality_rules, op10_licences, op12_round_bpe, op13_manifest)
+    for f in (op1_mix_sources, op2_simhash, op3_exact_dedup, op4_toxicity, op5_warc, op6_pii, op7_byte_bpe, op8_url_rules, op9_quality_rules, op10_licences, op11_alignment, op12_round_bpe, op13_manifest)
 }
 
 ORACLE_SQL = {
