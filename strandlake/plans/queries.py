@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype as fn
-from ..operators import counts, filters, imputation, joins, matching, phasing, segments, states
+from ..operators import counts, filters, imputation, joins, matching, phasing, prefix, segments, states
 from ..operators.shared import checkpointed, shared_dir
 from ..operators.statistics import RunStatistics
 from ..sources import bgzf, bref3, files
@@ -534,6 +534,29 @@ def prefix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.prefix_neighbours(views.gt_ref(spark, sf_dir), ["chrom"])
 
 
+_STEPS = """placed AS (SELECT m, chrom, (row_number() OVER (PARTITION BY chrom ORDER BY m) - 1) // 10 AS step FROM markers), seqs AS (
+  SELECT g.chrom, step, hap, string_agg(a::VARCHAR, ',' ORDER BY m) AS seq FROM gt_ref g JOIN placed USING (m) GROUP BY g.chrom, step, hap
+), codes AS MATERIALIZED (SELECT chrom, step, hap, dense_rank() OVER (PARTITION BY chrom, step ORDER BY least) - 1 AS code, greatest(step // 16 * 16 - 8, 0) AS start FROM (SELECT *, min(hap) OVER (PARTITION BY chrom, step, seq) AS least FROM seqs)
+), backs AS (SELECT c.chrom, c.step, c.hap, list(p.code ORDER BY p.step DESC) AS back FROM codes c JOIN codes p ON p.chrom = c.chrom AND p.hap = c.hap AND p.step BETWEEN c.start AND c.step GROUP BY ALL
+), pairs AS (SELECT x.chrom, x.step, x.start, x.hap, x.step - greatest(coalesce(max(CASE WHEN x.code <> y.code THEN x.step END) OVER (PARTITION BY x.chrom, x.hap, y.hap ORDER BY x.step), -1), x.start - 1) AS n
+  FROM codes x JOIN codes y ON x.chrom = y.chrom AND x.step = y.step AND x.hap <> y.hap)"""
+
+
+def _step_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chrom, step, hap, smp, code) of ten markers a step, the codes numbered by first haplotype."""
+    marks = states.places(views.markers(spark, sf_dir).select(F.col("chrom").alias("line"), "m")).select("m", F.floor(F.col("k") / 10).alias("step"), (F.col("k") % 10).alias("k"))
+    gt = views.gt_ref(spark, sf_dir).join(marks, "m").select("chrom", "step", "k", "hap", "a")
+    codes = matching.coded_sequences(matching.packed_sequences(gt, ["chrom", "step"]), ["chrom", "step"])
+    return codes.withColumn("smp", F.floor(F.col("hap") / 2).cast("int"))
+
+
+@query("""SELECT b.chrom, b.step, b.hap, row_number() OVER (PARTITION BY b.chrom, b.step ORDER BY back, b.hap) - 1 AS place, longest::INT AS longest
+  FROM backs b JOIN (SELECT chrom, step, hap, max(n) AS longest FROM pairs GROUP BY ALL) USING (chrom, step, hap)""", _STEPS)
+def longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place in prefix order and longest match with another haplotype after each step, from blocks of places."""
+    return prefix.longest_matches(checkpointed(_step_codes(spark, sf_dir)), ["chrom"], size=16, buffer=8, block=64)
+
+
 @query("""SELECT m, hap, round(coalesce(sum(mass) FILTER (a = 1), 0) / sum(mass), 9) + 0.0 AS p1 FROM (SELECT g.m, t.hap, g.a, w * (1.0::DOUBLE / (g.hap + 1)) + (1 - w) * (1.0::DOUBLE / (g.hap + cluster + 2)) AS mass FROM (
   SELECT m, chrom, (row_number() OVER (PARTITION BY chrom ORDER BY m) - 1) // 10 AS cluster, ((row_number() OVER (PARTITION BY chrom ORDER BY m) - 1) % 10 + 1) / 10.0::DOUBLE AS w FROM markers) k
   JOIN gt_ref g USING (m) JOIN (SELECT hap FROM haps WHERE smp % 10 = 0) t ON g.hap % 20 = (t.hap + cluster) % 20 WHERE g.smp % 10 <> 0) GROUP BY m, hap""")
