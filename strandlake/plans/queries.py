@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype as fn
-from ..operators import counts, filters, imputation, joins, matching, phasing, prefix, segments, states
+from ..operators import counts, filters, imputation, joins, matching, panel, phasing, prefix, segments, states
 from ..operators.shared import checkpointed, shared_dir
 from ..operators.statistics import RunStatistics
 from ..sources import bgzf, bref3, files
@@ -565,17 +565,30 @@ def allele_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = states.places(views.markers(spark, sf_dir).withColumnRenamed("chrom", "line"))
     blocks = marks.groupBy("line", F.floor(F.col("k") / 10).cast("int").alias("cluster")).agg(F.min("k").alias("first"), F.sort_array(F.collect_list(F.struct("k", "m"))).alias("x"))
     blocks = blocks.select("line", "cluster", "first", F.transform("x", lambda x: x["m"]).alias("ms"), F.transform("x", lambda x: (x["k"] % 10 + 1) / 10.0).alias("weights"))
-    ref = views.gt_ref(spark, sf_dir).where("smp % 10 <> 0").join(marks.select("line", "m", "k"), "m").select("line", "k", "hap", "a")
+    ref = views.gt_ref(spark, sf_dir).where("smp % 10 <> 0").select(F.col("chrom").alias("line"), "m", "hap", "a")
     targ = views.haps(spark, sf_dir).where("smp % 10 = 0").select("hap")
     # a state for every twentieth reference haplotype
     refs = views.haps(spark, sf_dir).where("smp % 10 <> 0").select(F.col("hap").alias("ref_hap"), (F.col("hap") % 20).alias("z"))
     asked = targ.select("hap", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("z")).join(refs, "z")
     rows = blocks.select("line", "cluster", F.pmod(F.lit(0) - F.col("cluster"), F.lit(20)).alias("_c")).join(asked.withColumn("_c", F.pmod(F.col("hap") - F.col("z"), F.lit(20))), "_c")
     states_of = rows.select("line", "hap", "cluster", "ref_hap", (1.0 / (F.col("ref_hap") + 1)).alias("p"), (1.0 / (F.col("ref_hap") + F.col("cluster") + 2)).alias("p_next"))
-    found = imputation.allele_probabilities(states_of, states.wide_haplotypes(ref), blocks)
+    coded = panel.coded_panel(ref, blocks)
+    found = imputation.allele_probabilities(states_of, coded, blocks)
     return rounded(found.select("m", "hap", F.col("probs")[1].alias("p1")), "p1")
 
 
+@query("""SELECT chrom, block, hap, dense_rank() OVER (PARTITION BY chrom, block ORDER BY least) - 1 AS seq, n AS n_haps, seq AS alleles FROM (
+  SELECT *, min(hap) OVER (PARTITION BY chrom, block, seq) AS least, count(*) OVER (PARTITION BY chrom, block, seq) AS n FROM (
+  SELECT g.chrom, k // 25 AS block, hap, string_agg(a::VARCHAR, '' ORDER BY m) AS seq FROM gt_ref g JOIN (SELECT m, row_number() OVER (PARTITION BY chrom ORDER BY m) - 1 AS k FROM markers) USING (m) GROUP BY g.chrom, block, hap))""")
+def coded_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Haplotype to sequence and sequence to alleles, in blocks of 25 markers."""
+    marks = states.places(views.markers(spark, sf_dir).withColumnRenamed("chrom", "line"))
+    blocks = marks.groupBy("line", F.floor(F.col("k") / 25).alias("cluster")).agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    coded = panel.coded_panel(views.gt_ref(spark, sf_dir).select(F.col("chrom").alias("line"), "m", "hap", "a"), blocks)
+    rows = coded.members.join(coded.sequences, ["line", "cluster", "seq"])
+    return rows.select(F.col("line").alias("chrom"), F.col("cluster").alias("block"), "hap", "seq", "n_haps", F.array_join(F.col("alleles").cast("array<string>"), "").alias("alleles"))
+
+
 _RARE = """hets AS (SELECT g.m, chrom, smp, least(a1, a2) AS low, greatest(a1, a2) AS high, g.m // 40 AS k, (g.m % 40) / 40.0::DOUBLE AS w FROM gt_obs g JOIN markers USING (m) WHERE a1 <> a2 AND a1 >= 0), votes AS (
   SELECT h.m, h.smp, sum((w / (2 * smp + side + j + 1) + (1 - w) / (2 * smp + side + j + 3)) * CASE WHEN (h.m + j) % 2 = high THEN 1 WHEN (h.m + j) % 2 = low THEN -1 ELSE 0 END * CASE WHEN side = 0 THEN 1 ELSE -1 END) AS e
   FROM hets h CROSS JOIN (SELECT range AS side FROM range(2)) CROSS JOIN (SELECT range AS j FROM range(5)) GROUP BY h.m, h.smp)"""
