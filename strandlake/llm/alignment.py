@@ -14,8 +14,10 @@ are joined with the corpus's counts, and no link of a document is ever a row of
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +62,7 @@ def overlap_groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray,
 
 
 class Units:
-    """The aligned units that a Python worker keeps, each as (A ids, B ids, groups, told groups, packed pairs); None where the sides' bytes differ."""
+    """The aligned units that a Python worker keeps, each as (A ids, B ids, told groups, packed pairs); None where the sides' bytes differ."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -75,6 +77,8 @@ class Units:
         self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
         if max(len(self.a_length), len(self.b_length)) > 1 << ID_BITS:
             raise ValueError("too many ids for a packed pair")
+        # how an id is told inside a group, and at the end of its side of a group
+        self.told = [f"{k}{end}" for n, ends in ((len(self.a_length), ",|"), (len(self.b_length), ",;")) for end in ends for k in range(n)]
         # a piece with a space behind another character would reach over the end of a unit
         self.whole = any(_SPACE in p.lstrip(_SPACE) for p in pieces)
         self.kept: dict[str, tuple | None] = {}
@@ -89,10 +93,13 @@ class Units:
         new = units - self.kept.keys()
         again = new & self.older.keys()
         self.kept.update((u, self.older[u]) for u in again)
-        self.kept_bytes += 8 * sum(map(len, new))
+        self.kept_bytes += sum(map(len, new))
         held: list[str] = []
         size = 0
-        for unit in sorted(new - again):
+        for unit in new - again:
+            if self.whole or unit[-1].isspace() or _SPACE in unit:
+                self._align([unit])  # more of the text behind it could change its tokens
+                continue
             held.append(unit)
             size += len(unit)
             if size >= BLOCK_CHARS:
@@ -103,37 +110,38 @@ class Units:
 
     def age(self) -> None:
         """Lets the older generation go when the younger has grown."""
-        if len(self.kept) > KEPT_WORDS // 2 or self.kept_bytes > 8 * KEPT_BYTES // 2:
-            fits = len(self.kept) <= KEPT_WORDS and self.kept_bytes <= 8 * KEPT_BYTES
+        if len(self.kept) > KEPT_WORDS // 2 or self.kept_bytes > KEPT_BYTES // 4:
+            fits = len(self.kept) <= KEPT_WORDS and self.kept_bytes <= KEPT_BYTES // 2
             self.older, self.kept, self.kept_bytes = self.kept if fits else {}, {}, 0
 
     def _align(self, units: list[str]) -> None:
-        a_ids = [np.frombuffer(x, "<i4") for x in self.a.encode_batch(units)]
-        # the space that B puts before a text stands for the unit's first one
-        coded = self.b.encode([u.removeprefix(" ") for u in units], num_threads=1)
-        coded = [ids or [self.b.piece_to_id(_SPACE)] for ids in coded]  # an empty text gets no space, a unit of one space is one
-        b_ids, sound = [], []
-        for unit, ids in zip(units, coded, strict=True):
-            same = _SPACE not in unit and b"".join(map(self.b_bytes.__getitem__, ids)) == unit.encode()
-            sound.append(same)
-            b_ids.append(np.array(ids, np.int32))
-        self.kept.update((u, None) for u, same in zip(units, sound, strict=True) if not same)
-        chosen = [k for k, same in enumerate(sound) if same]
-        if not chosen:
+        """Aligns units as one text: their tokens are the same as in any other."""
+        text = "".join(units)
+        a = np.frombuffer(self.a.encode_batch([text])[0], "<i4").astype(np.int64)
+        # the space that B puts before a text stands for the first one here; an empty text would get none
+        b = np.array(self.b.encode(text[1:], num_threads=1) if len(text) > 1 else [self.b.piece_to_id(_SPACE)], np.int64)
+        if _SPACE in text or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != text.encode():
+            if len(units) == 1:
+                self.kept[units[0]] = None
+            else:
+                for unit in units:
+                    self._align([unit])
             return
-        a, b = np.concatenate([a_ids[k] for k in chosen]), np.concatenate([b_ids[k] for k in chosen])
         a_ends, b_ends = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
         a_group, b_group = overlap_groups(a_ends, b_ends)
         # the last members of a group end together, and no others do
-        a_last, b_last = (np.flatnonzero(np.append(g[1:] != g[:-1], True)) for g in (a_group, b_group))
-        pairs = a[a_last].astype(np.int64) << ID_BITS | b[b_last]
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        a_cuts, b_cuts = [0, *(a_last + 1).tolist()], [0, *(b_last + 1).tolist()]
-        told = [f"{','.join(a_text[p:q])}|{','.join(b_text[r:s])}" for p, q, r, s in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:], strict=False)]
-        n_a, n_b = np.cumsum([0, *(len(a_ids[k]) for k in chosen)]), np.cumsum([0, *(len(b_ids[k]) for k in chosen)])
-        cuts = np.searchsorted(a_last, n_a).tolist()  # a unit begins with a group
-        for k, start, end in zip(chosen, cuts, cuts[1:], strict=False):
-            self.kept[units[k]] = (len(a_ids[k]), len(b_ids[k]), end - start, ";".join(told[start:end]), pairs[start:end].tobytes())
+        a_last, b_last = (np.append(g[1:] != g[:-1], True) for g in (a_group, b_group))
+        pairs = a[a_last] << ID_BITS | b[b_last]
+        size_a, size_b = len(self.a_length), len(self.b_length)
+        codes = np.concatenate([a + size_a * a_last, b + 2 * size_a + size_b * b_last])
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        told = list(map(self.told.__getitem__, codes[order].tolist()))
+        ends = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in units])
+        # a unit ends with a token on both sides, and with a group
+        n_a, n_b, n_pairs = np.searchsorted(a_ends, ends) + 1, np.searchsorted(b_ends, ends) + 1, np.searchsorted(a_ends[a_last], ends) + 1
+        data = pairs.tobytes()
+        cuts = zip(units, *(x.tolist() for y in (n_a, n_b, n_pairs) for x in (np.append(0, y[:-1]), y)), strict=True)
+        self.kept.update((u, (a1 - a0, b1 - b0, "".join(told[a0 + b0 : a1 + b1]), data[8 * p0 : 8 * p1])) for u, a0, a1, b0, b1, p0, p1 in cuts)
 
 
 @functools.lru_cache(maxsize=2)
@@ -157,28 +165,44 @@ def _blocks(texts: Iterable[tuple[object, str | None]]) -> Iterator[list[tuple[o
         yield held
 
 
-def _aligned_block(known: Units, block: int, rows: list[tuple[object, str]], groups: bool) -> pa.RecordBatch:
+def _aligned_block(known: Units, block: int, rows: list[tuple[object, str]], digest: bool) -> pa.RecordBatch:
     """The rows of a block's documents, and one before them with the block's distinct pairs and how often each stands there."""
     split = [known.units(text) if text else [] for _, text in rows]
-    known.learn(set().union(*split))
-    parts = [[known.kept[u] for u in units] for units in split]
-    parts = [[] if None in x else x for x in parts]
-    packed = [np.frombuffer(b"".join([p[4] for p in x]), np.int64) for x in parts]
-    pairs, at, times = np.unique(np.concatenate(packed), return_inverse=True, return_counts=True)
-    ats, counts, start = [], [], 0
-    for x in packed:
-        own, n = np.unique(at[start : start + len(x)], return_counts=True)
-        start += len(x)
-        ats.append(own)
-        counts.append(n)
-    lists = lambda rows, kind: pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int64()), pa.array(np.concatenate(rows).astype(kind))).cast(pa.list_(pa.from_numpy_dtype(kind)))
-    total = lambda k: pa.array([None, *(sum(p[k] for p in x) for x in parts)], pa.int64())
+    distinct = list(set().union(*split))
+    known.learn(set(distinct))
+    found = [known.kept[u] for u in distinct]
+    unsound = {u for u, x in zip(distinct, found, strict=True) if x is None}
+    if unsound:
+        split = [[] if unsound.intersection(units) else units for units in split]
+        found = [x or (0, 0, "", b"") for x in found]
     known.age()
-    nothing = [np.zeros(0)] * len(rows)
+    number = dict(zip(distinct, range(len(distinct)), strict=True))
+    unit = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64)
+    doc = np.repeat(np.arange(len(rows)), [len(x) for x in split])
+    told = [x[2] for x in found]
+    texts, at = [], 0
+    for units in split:
+        text = "".join(map(told.__getitem__, unit[at : at + len(units)].tolist()))[:-1]
+        texts.append(hashlib.sha256(text.encode()).hexdigest() if digest and text else text)
+        at += len(units)
+    total = lambda k: pa.array([None, *np.bincount(doc, np.array([x[k] for x in found], np.int64)[unit], len(rows)).astype(np.int64).tolist()], pa.int64())
+    pairs, place = np.unique(np.frombuffer(b"".join(x[3] for x in found), np.int64), return_inverse=True)
+    n = np.array([len(x[3]) // 8 for x in found], np.int64)
+    first, size = (np.cumsum(n) - n)[unit], n[unit]
+    # the pairs of all units in order: runs of places, one after the other
+    link = place[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    each, times = np.unique(np.repeat(doc, size) * max(len(pairs), 1) + link, return_counts=True)
+    own, link = np.divmod(each, max(len(pairs), 1))
+    here = np.bincount(link, times, len(pairs)).astype(np.int64)
+    pairs, link = pairs[here > 0], (np.cumsum(here > 0) - 1)[link] if len(pairs) else link
+    here = here[here > 0]
+    ends = np.cumsum([0, len(here), *np.bincount(own, minlength=len(rows))])
+    lists = lambda head, rest, ends, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([head, rest]).astype(kind)))
+    only = np.append(0, np.full(len(rows) + 1, len(pairs)))
+    groups = pa.array([None, *np.bincount(own, times, len(rows)).astype(np.int64).tolist()], pa.int64())
     return pa.RecordBatch.from_pydict({
-        "block": pa.array([block] * (len(rows) + 1), pa.int64()), "id": pa.array([None, *(k for k, _ in rows)], pa.int64()), "n_a": total(0), "n_b": total(1), "n_groups": total(2),
-        "groups": pa.array([None, *(";".join([p[3] for p in x]) if groups else None for x in parts)], pa.string()),
-        "at": lists([np.zeros(0), *ats], np.int32), "times": lists([times, *counts], np.int32), "pairs": lists([pairs, *nothing], np.int64),
+        "block": pa.array([block] * (len(rows) + 1), pa.int64()), "id": pa.array([None, *(k for k, _ in rows)], pa.int64()), "n_a": total(0), "n_b": total(1), "n_groups": groups,
+        "groups": pa.array([None, *texts], pa.string()), "at": lists(np.zeros(0), link, np.append(0, ends[1:] - len(here)), np.int32), "times": lists(here, times, ends, np.int32), "pairs": lists(pairs, [], only, np.int64),
     })
 
 
@@ -196,10 +220,9 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
         first = TaskContext.get().partitionId() << 32
         texts = ((k, t) for batch in batches for k, t in zip(values(batch.column(0)), values(batch.column(1)), strict=True))
         for k, rows in enumerate(_blocks(texts)):
-            yield _aligned_block(known, first + k, rows, True)
+            yield _aligned_block(known, first + k, rows, digest)
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(udf, _STORED)
-    return rows.withColumn("groups", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))) if digest else rows
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(udf, _STORED)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:

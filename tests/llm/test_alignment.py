@@ -95,7 +95,7 @@ def test_blocks_and_worker_memory_do_not_show(spark, monkeypatch):
             one, parts = whole.kept[f" {t}"], want[t]
             assert (one is None) == (None in parts)
             if one is not None:
-                assert one == (*(sum(p[k] for p in parts) for k in range(3)), ";".join(p[3] for p in parts), b"".join(p[4] for p in parts))
+                assert one == (sum(p[0] for p in parts), sum(p[1] for p in parts), "".join(p[2] for p in parts), b"".join(p[3] for p in parts))
 
 
 def test_groups_are_components():
