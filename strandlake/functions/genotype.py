@@ -151,3 +151,10 @@ def n_genotypes(alleles: Column) -> Column:
 def marker_key(chrom: Column, pos: Column, ref: Column, alt: Column, end: Column) -> Column:
     """What makes two markers the same: chromosome, position, alleles and END; not the id."""
     return F.struct(chrom.alias("chrom"), pos.alias("pos"), ref.alias("ref"), alt.alias("alt"), F.coalesce(end, F.lit("")).alias("end"))
+
+
+def chromosome_order(chrom: Column) -> Column:
+    """What chromosomes are sorted by: their first run of digits as a number, those without digits last, then the name."""
+    name = chrom.cast("string")
+    number = F.try_to_number(F.nullif(F.regexp_extract(name, r"([0-9]{1,18})", 1), F.lit("")), F.lit("9" * 18))
+    return F.struct(number.isNull().alias("z"), number.alias("n"), name.alias("name"))

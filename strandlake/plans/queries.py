@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import genotype as fn
@@ -143,12 +143,13 @@ def stage_one_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.high_frequency_markers(ref, n_haps=200, rare=0.1)
 
 
-@query("""SELECT m, chrom, pos, w, hit AS in_targ, CASE WHEN hit THEN (sum(hit::INT) OVER (PARTITION BY chrom ORDER BY m ROWS UNBOUNDED PRECEDING) - 1)::BIGINT ELSE -1 END AS targ_index
-  FROM (SELECT k.*, t.m IS NOT NULL AS hit FROM markers k LEFT JOIN (SELECT DISTINCT m FROM gt_obs WHERE smp % 3 = 0) t ON k.m = t.m)""")
+@query("""SELECT m, chrom, pos, stop, hit AS in_targ, CASE WHEN hit THEN (sum(hit::INT) OVER (PARTITION BY chrom ORDER BY m ROWS UNBOUNDED PRECEDING) - 1)::BIGINT ELSE -1 END AS targ_index
+  FROM (SELECT k.*, t.m IS NOT NULL AS hit FROM ended k LEFT JOIN (SELECT DISTINCT m FROM gt_obs WHERE smp % 3 = 0) t ON k.m = t.m)""", "ended AS (SELECT m, chrom, m // 12 * 12 AS pos, CASE WHEN m % 12 < 4 THEN '' ELSE (m % 12)::VARCHAR END AS stop FROM markers)")
 def marker_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = views.markers(spark, sf_dir)
+    """Three markers of each position differ by END alone."""
+    ref = views.markers(spark, sf_dir).select("m", "chrom", F.expr("cast(m div 12 * 12 as int)").alias("pos"), F.when(F.col("m") % 12 < 4, "").otherwise((F.col("m") % 12).cast("string")).alias("stop"))
     targ = views.gt_obs(spark, sf_dir).where("smp % 3 = 0").select("m").distinct().join(ref, "m")
-    return joins.merge_markers(ref, targ, ["chrom", "pos"])
+    return joins.merge_markers(ref, targ, ["chrom", "pos", "stop"])
 
 
 @query("SELECT g.m, g.smp, CASE WHEN g.m < 900 AND g.smp % 2 = 0 THEN 9 ELSE g.a1 END AS a1 FROM gt_obs g")
@@ -474,39 +475,45 @@ def hmm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("chrom", "hap", F.aggregate("obs", first, step).alias("f")).select("chrom", "hap", "f.*"), "f0", "f1")
 
 
-@query("SELECT smp, m, a1, a2 FROM gt_obs")
+@query("SELECT smp, m, a1, CASE WHEN smp % 7 = 0 THEN a1 ELSE a2 END AS a2, smp % 7 <> 0 AS diploid, CASE WHEN m % 5 < 2 THEN (pos + 9)::VARCHAR ELSE '' END AS stop FROM gt_obs JOIN markers USING (m)")
 def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Genotypes written as VCF text and read again."""
-    place = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/vcf-{uuid.uuid4().hex}"
+    """Genotypes of diploid and haploid samples at markers with and without END, written as VCF text and read again. Two markers that differ by END alone share a position."""
+    place = f"{shared_dir(spark)}/vcf-{uuid.uuid4().hex}"
     obs = views.gt_obs(spark, sf_dir)
     names = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("smp"))
-    marks = views.markers(spark, sf_dir).join(obs.select("m").distinct(), "m").select("m", F.concat(F.lit("chr"), F.col("chrom").cast("string")).alias("chrom"), "pos", F.concat(F.lit("rs"), F.col("m").cast("string")).alias("id"), F.lit("A").alias("ref"), F.lit("C").alias("alt"))
-    # a full grid of cells per marker: samples without a record are written as missing and dropped again
-    every = names.agg(F.sort_array(F.collect_list("smp")).alias("all"))
-    cells = marks.select("m").join(F.broadcast(every)).select("m", F.explode("all").alias("smp")).join(obs, ["m", "smp"], "left")
-    cells = cells.select("m", "smp", F.coalesce("a1", F.lit(-2)).alias("a1"), F.coalesce("a2", F.lit(-2)).alias("a2"), F.lit(True).alias("phased"))
+    end = F.when(F.col("m") % 5 < 2, (F.col("pos") + 9).cast("string")).otherwise("")
+    # every eighth marker stands at the position of the one before it on its chromosome
+    pos = F.when(F.col("m") % 20 == 5, F.col("pos") - 4 * 997).otherwise(F.col("pos"))
+    marks = views.markers(spark, sf_dir).join(obs.select("m").distinct(), "m").select("m", F.concat(F.lit("chr"), F.col("chrom").cast("string")).alias("chrom"), pos.alias("pos"), F.concat(F.lit("rs"), F.col("m").cast("string")).alias("id"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), end.alias("end"))
+    # a full grid of cells: each marker meets lists of at most 2000 samples; cells without a genotype are written as missing and dropped again
+    lists = names.groupBy(F.floor(F.col("smp") / 2000).alias("z")).agg(F.sort_array(F.collect_list("smp")).alias("all"))
+    grid = marks.select("m", F.explode(F.sequence(F.lit(0), F.lit(names.agg(F.floor(F.max("smp") / 2000).alias("z")).first().z))).alias("z"))
+    cells = grid.join(lists, "z").select("m", F.explode("all").alias("smp")).join(obs, ["m", "smp"], "left")
+    cells = cells.select("m", "smp", F.coalesce("a1", F.lit(-1)).alias("a1"), F.coalesce("a2", F.lit(-1)).alias("a2"), F.lit(True).alias("phased"), (F.col("smp") % 7 != 0).alias("diploid"))
     samples = [f"s{r.smp}" for r in names.orderBy("smp").collect()]
     files.write_vcf(files.vcf_lines(marks, cells, ["m"]), samples, place)
     read, gt = files.read_vcf(spark, place)
-    back = gt.join(read.select("chrom", "pos", "ref", "alt", F.substring("id", 3, 12).cast("int").alias("m")), ["chrom", "pos", "ref", "alt"])
-    return back.join(obs.select("m", "smp"), ["m", "smp"], "left_semi").select("smp", "m", "a1", "a2")
+    ids = names.select("smp", (F.row_number().over(Window.orderBy("smp")) - 1).cast("int").alias("z"))
+    back = gt.join(read.select(*jobs.KEY, F.substring("id", 3, 12).cast("int").alias("m")), [*jobs.KEY]).withColumnRenamed("smp", "z").join(ids, "z")
+    return back.join(obs.select("m", "smp"), ["m", "smp"], "left_semi").select("smp", "m", "a1", "a2", "diploid", F.col("end").alias("stop"))
 
 
-_DOSES = r"""doses AS (SELECT m, chrom, pos, smp, hap % 2 AS side, a * (((m + hap) % 4) + 1) / 4.0::DOUBLE AS d FROM gt_ref), pairs AS (
+_DOSES = r"""doses AS (SELECT m, chrom, pos, smp, hap % 2 AS side, a * (((m + hap) % 4) + 1) / 4.0::DOUBLE AS d FROM gt_ref WHERE smp % 7 <> 0 OR hap % 2 = 0), pairs AS (
   SELECT m, chrom, pos, smp, max(d) FILTER (side = 0) AS p1, max(d) FILTER (side = 1) AS p2 FROM doses GROUP BY ALL
 ), cells AS (
-  SELECT m, chrom, pos, string_agg((p1 > 0.5)::INT || '|' || (p2 > 0.5)::INT || ':' || SHOWN, chr(9) ORDER BY smp) AS cells FROM pairs GROUP BY ALL
+  SELECT m, chrom, pos, string_agg(CASE WHEN p2 IS NULL THEN (p1 > 0.5)::INT || ':' || HALF || ':' || HALF ELSE (p1 > 0.5)::INT || '|' || (p2 > 0.5)::INT || ':' || SHOWN END, chr(9) ORDER BY smp) AS cells FROM pairs GROUP BY ALL
 ), spread AS (
   SELECT m, CASE WHEN s = 0 OR q - s*s/n <= 0 OR s - s*s/n <= 0 THEN 0 ELSE (q - s*s/n) / (s - s*s/n) END AS dr2, s / n AS af FROM (SELECT m, sum(d) AS s, sum(d*d) AS q, count(*) AS n FROM doses GROUP BY m)
 )"""
 _SHOWN = " || ':' || ".join(rf"regexp_replace(printf('%.2f', {x}), '\.?0+$', '')" for x in ("p1 + p2", "p1", "p2"))
+_HALF = r"regexp_replace(printf('%.2f', p1), '\.?0+$', '')"
 
 
 @query("""SELECT chrom, pos, concat_ws(chr(9), chrom, pos, 'rs' || m, 'A', 'C', '.', 'PASS', 'DR2=' || printf('%.2f', round_even((100::FLOAT * dr2::FLOAT)::DOUBLE, 0) / 100) || ';AF=' || printf('%.4f', af) || CASE WHEN m % 5 = 0 THEN ';END=' || pos + 9 ELSE '' END || CASE WHEN m % 3 <> 0 THEN ';IMP' ELSE '' END, 'GT:DS:AP1:AP2', cells) AS line
-  FROM cells JOIN spread USING (m)""", _DOSES.replace("SHOWN", _SHOWN))
+  FROM cells JOIN spread USING (m)""", _DOSES.replace("SHOWN", _SHOWN).replace("HALF", _HALF))
 def imputed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imputed records as text: likelier alleles, doses, and what INFO says of the marker."""
-    ref = views.gt_ref(spark, sf_dir)
+    """Imputed records as text: likelier alleles, doses, and what INFO says of the marker. Every seventh sample is haploid."""
+    ref = views.gt_ref(spark, sf_dir).where("smp % 7 <> 0 or hap % 2 = 0")
     doses = ref.select("m", "hap", (F.col("a") * ((F.col("m") + F.col("hap")) % 4 + 1) / 4.0).alias("dose"), (F.col("m") % 3 != 0).alias("imputed"))
     end = F.when(F.col("m") % 5 == 0, (F.col("pos") + 9).cast("string")).otherwise("")
     marks = views.markers(spark, sf_dir).select("m", "chrom", "pos", F.concat(F.lit("rs"), F.col("m").cast("string")).alias("id"), F.lit("A").alias("ref"), F.lit("C").alias("alt"), end.alias("end"))
