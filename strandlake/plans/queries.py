@@ -596,36 +596,61 @@ def coded_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("line").alias("chrom"), F.col("cluster").alias("block"), "hap", "seq", "n_haps", F.array_join(F.col("alleles").cast("array<string>"), "").alias("alleles"))
 
 
-_RARE = """hets AS (SELECT g.m, chrom, smp, least(a1, a2) AS low, greatest(a1, a2) AS high, g.m // 40 AS k, (g.m % 40) / 40.0::DOUBLE AS w FROM gt_obs g JOIN markers USING (m) WHERE a1 <> a2 AND a1 >= 0), votes AS (
-  SELECT h.m, h.smp, sum((w / (2 * smp + side + j + 1) + (1 - w) / (2 * smp + side + j + 3)) * CASE WHEN (h.m + j) % 2 = high THEN 1 WHEN (h.m + j) % 2 = low THEN -1 ELSE 0 END * CASE WHEN side = 0 THEN 1 ELSE -1 END) AS e
-  FROM hets h CROSS JOIN (SELECT range AS side FROM range(2)) CROSS JOIN (SELECT range AS j FROM range(5)) GROUP BY h.m, h.smp)"""
-
-
-def _rare_hets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heterozygotes phased by five states each, whose alleles alternate from marker to marker."""
-    marks = views.markers(spark, sf_dir).select(F.col("chrom").alias("line"), "m")
-    hets = views.gt_obs(spark, sf_dir).where("a1 <> a2 and a1 >= 0").join(marks, "m")
-    hets = hets.select("line", "m", "smp", F.least("a1", "a2").alias("low"), F.greatest("a1", "a2").alias("high"), F.floor(F.col("m") / 40).cast("int").alias("left_k"), ((F.col("m") % 40) / 40.0).alias("weight"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")
-    haps = hets.select("line", "left_k", F.explode(F.array(2 * F.col("smp"), 2 * F.col("smp") + 1)).alias("hap")).distinct().select("line", F.col("left_k").alias("k"), "hap", each)
-    posteriors = haps.select("line", "k", "hap", (F.lit(1000) + F.col("j")).alias("ref_hap"), (1.0 / (F.col("hap") + F.col("j") + 1)).alias("p"), (1.0 / (F.col("hap") + F.col("j") + 3)).alias("p_next"))
-    carriers = marks.select("line", "m", each).select("line", "m", (F.lit(1000) + F.col("j")).alias("hap"), ((F.col("m") + F.col("j")) % 2).alias("a"))
-    return phasing.phase_rare(hets, carriers, posteriors)
+_RARE = """alleles AS (SELECT m, unnest([a1, a2]) AS a FROM gt_obs WHERE a1 >= 0), per AS (SELECT m, a, count(*) AS n FROM alleles GROUP BY m, a), common AS (
+  SELECT m, first(a ORDER BY n DESC, a) AS common, list(a) FILTER (n <= 20) AS rares FROM per GROUP BY m
+), asked AS (SELECT g.m, smp, least(a1, a2) AS low, greatest(a1, a2) AS high, (g.m % 40) / 40.0::DOUBLE AS w, common, coalesce(rares, []) AS rares FROM gt_obs g JOIN common USING (m) WHERE a1 <> a2 OR a1 < 0), votes AS (
+  SELECT q.*, side, w / (2 * q.smp + side + j + 1) + (1 - w) / (2 * q.smp + side + j + 3) AS p, coalesce(s.a1, common) AS b1, coalesce(s.a2, common) AS b2, (q.smp + 3 * j + side) % 9 = 0 AS sure
+  FROM asked q CROSS JOIN (SELECT range AS side FROM range(2)) CROSS JOIN (SELECT range AS j FROM range(5)) CROSS JOIN (SELECT max(s_suppkey) AS n FROM supplier)
+  LEFT JOIN gt_obs s ON s.m = q.m AND s.smp = (q.smp + 3 * j + side) % n + 1 WHERE coalesce(s.a1, 0) >= 0
+), cast_votes AS (
+  SELECT *, CASE WHEN b1 = b2 THEN b1 WHEN r1 AND NOT r2 THEN low WHEN r2 AND NOT r1 THEN high END AS v FROM (
+  SELECT *, list_contains(rares, low) AND low IN (b1, b2) AS r1, list_contains(rares, high) AND high IN (b1, b2) AS r2 FROM votes WHERE low >= 0)
+), products AS (
+  SELECT m, smp, coalesce(sum(p) FILTER (side = 0 AND v = low), 0) * coalesce(sum(p) FILTER (side = 1 AND v = high), 0) AS straight, coalesce(sum(p) FILTER (side = 0 AND v = high), 0) * coalesce(sum(p) FILTER (side = 1 AND v = low), 0) AS crossed FROM cast_votes GROUP BY m, smp
+), hets AS (
+  SELECT q.m, q.smp, coalesce(crossed, 0) > coalesce(straight, 0) OR (coalesce(crossed, 0) = coalesce(straight, 0) AND substr(md5('0:' || q.m || ':' || q.smp || ':7'), 1, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f')) AS turned, low, high
+  FROM asked q LEFT JOIN products USING (m, smp) WHERE low >= 0
+), gone AS (
+  SELECT m, smp, side, a, sum(p * share) AS p FROM (SELECT m, smp, side, p, unnest(CASE WHEN b1 = b2 OR sure THEN [b1] ELSE [b1, b2] END) AS a,
+    unnest(CASE WHEN b1 = b2 OR sure THEN [1.0::DOUBLE] WHEN list_contains(rares, b1) = list_contains(rares, b2) THEN [0.5, 0.5] WHEN list_contains(rares, b1) THEN [0.55, 0.45] ELSE [0.45, 0.55] END) AS share FROM votes WHERE low < 0) GROUP BY ALL
+), filled AS (
+  SELECT q.m, q.smp, coalesce((SELECT first(a ORDER BY round(p, 12) DESC, a) FROM gone g WHERE g.m = q.m AND g.smp = q.smp AND side = 0), common) AS x1, coalesce((SELECT first(a ORDER BY round(p, 12) DESC, a) FROM gone g WHERE g.m = q.m AND g.smp = q.smp AND side = 1), common) AS x2 FROM asked q WHERE low < 0
+), done AS (
+  SELECT m, smp, CASE WHEN turned THEN high ELSE low END AS a1, CASE WHEN turned THEN low ELSE high END AS a2 FROM hets UNION ALL SELECT m, smp, x1, x2 FROM filled
+)"""
 
 
-@query("SELECT h.m, smp, CASE WHEN e > 0 THEN high ELSE low END AS a1, CASE WHEN e > 0 THEN low ELSE high END AS a2 FROM hets h JOIN votes USING (m, smp)", _RARE)
+def _rare_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heterozygotes and missing genotypes, each with five states a haplotype: other samples, whose phase is known for some."""
+    line = F.lit(0).alias("line")
+    obs = views.gt_obs(spark, sf_dir).select(line, "m", "smp", "a1", "a2")
+    n = views.table(spark, sf_dir, "supplier").agg(F.max("s_suppkey").cast("int").alias("n")).first().n
+    common, _, _ = phasing.rare_genotypes(obs, None, 0, 20, 1.0)
+    asked = obs.where("a1 <> a2 or a1 < 0").withColumns({"diploid": F.lit(True), "left_k": F.col("m"), "weight": (F.col("m") % 40) / 40.0})
+    state = (F.col("smp") + 3 * F.col("j") + F.col("side")) % n
+    z = 2 * F.col("smp") + F.col("side") + F.col("j")
+    each = asked.select("line", "m", "smp", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")).select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("side"))
+    # a state has a number of its own for each pair it serves, so that one sample may have its phase known for one and not for another
+    sure = ((F.col("smp") + 3 * F.col("j") + F.col("side")) % 9 == 0).cast("int")
+    posteriors = each.select("line", F.col("m").alias("k"), (2 * F.col("smp") + F.col("side")).alias("hap"), (2 * (state + 1) + sure).cast("int").alias("ref_hap"), (1.0 / (z + 1)).alias("p"), (1.0 / (z + 3)).alias("p_next"))
+    carried = obs.select("line", "m", F.explode(F.array(F.lit(0), F.lit(1))).alias("sure"), "smp", "a1", "a2").select("line", "m", (2 * F.col("smp") + F.col("sure")).alias("hap"), F.col("a1").alias("b1"), F.col("a2").alias("b2"), (F.col("sure") == 1).alias("sure"))
+    return phasing.phase_rare(asked, carried, common, posteriors, 7)
+
+
+@query("SELECT * FROM done", _RARE)
 def rare_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rare_hets(spark, sf_dir).select("m", "smp", "a1", "a2")
+    """Votes of homozygous and heterozygous carriers, and missing genotypes."""
+    return _rare_phases(spark, sf_dir).select("m", "smp", "a1", "a2")
 
 
-@query("""SELECT g.m, g.smp, coalesce(CASE WHEN v.e > 0 THEN high ELSE low END, CASE WHEN g.m % 5 = 0 THEN 1 ELSE a1 END) AS a1, coalesce(CASE WHEN v.e > 0 THEN low ELSE high END, CASE WHEN g.m % 5 = 0 THEN 0 ELSE a2 END) AS a2
-  FROM gt_obs g LEFT JOIN (SELECT h.*, e FROM hets h JOIN votes USING (m, smp) WHERE h.m % 5 <> 0) v ON v.m = g.m AND v.smp = g.smp""".replace("CASE WHEN v.e > 0 THEN high ELSE low END", "CASE WHEN v.e IS NULL THEN NULL WHEN v.e > 0 THEN high ELSE low END").replace("CASE WHEN v.e > 0 THEN low ELSE high END", "CASE WHEN v.e IS NULL THEN NULL WHEN v.e > 0 THEN low ELSE high END"), _RARE)
+@query("""SELECT g.m, g.smp, coalesce(v.a1, CASE WHEN g.m % 5 = 0 THEN 1 ELSE g.a1 END) AS a1, coalesce(v.a2, CASE WHEN g.m % 5 = 0 THEN 0 ELSE g.a2 END) AS a2
+  FROM gt_obs g LEFT JOIN (SELECT * FROM done WHERE m % 5 <> 0) v ON v.m = g.m AND v.smp = g.smp""", _RARE)
 def phase_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth marker as phased in passes, rare heterozygotes by their states, and all other genotypes as they are."""
+    """Every fifth marker as phased in passes, rare genotypes by their states, and all others as they are."""
     line = F.lit(0).alias("line")
     obs = views.gt_obs(spark, sf_dir).select(line, "m", "smp", "a1", "a2")
     stage1 = obs.where("m % 5 = 0").select("line", "m", "smp", F.lit(1).alias("a1"), F.lit(0).alias("a2"))
-    rare = _rare_hets(spark, sf_dir).where("m % 5 <> 0").select(line, "m", "smp", "a1", "a2")
+    rare = _rare_phases(spark, sf_dir).where("m % 5 <> 0").select(line, "m", "smp", "a1", "a2")
     return phasing.all_phased(stage1, rare, obs).select("m", "smp", "a1", "a2")
 
 
