@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,17 +56,21 @@ def remove(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Folders of :func:`stored`, in the order in which this process made them.
-MADE: list[str] = []
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
-def clear_stored(docs: DataFrame, places: list[str]) -> None:
-    """Deletes those folders of ``places`` that ``docs`` does not read, and takes them off the list."""
-    if places:
-        read = {m for f in docs.inputFiles() for m in re.findall(r"/rows-[0-9a-f]{32}/", f)}
-        for place in [p for p in places if f"/{p.rpartition('/')[2]}/" not in read]:
-            remove(docs.sparkSession, place)
-            places.remove(place)
+@contextlib.contextmanager
+def work_folder(spark: SparkSession, place: str) -> Iterator[None]:
+    """While it is open, :func:`stored` writes below ``place``; at its end that folder is deleted, so what reads it must have been written elsewhere by then.
+
+    Threads and nested uses have folders of their own, and nothing outside ``place`` is deleted.
+    """
+    before = _FOLDER.set(place)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(before)
+        remove(spark, place)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -77,10 +83,10 @@ def stored(df: DataFrame, uid: str) -> DataFrame:
     """``df`` with an own number for each row, written once to the shared folder and read from there.
 
     Row numbers depend on how a scan is split, and two scans may be split differently. A
-    decision made on numbers of the written table holds for every later scan of it.
+    decision made on numbers of the written table holds for every later scan of it. The table stays, as long as results may read it:
+    callers that write their results open a :func:`work_folder` around both.
     """
-    place = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    MADE.append(place)
+    place = f"{_FOLDER.get() or shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.withColumn(uid, F.monotonically_increasing_id()).write.parquet(place)
     return df.sparkSession.read.parquet(place)
 
