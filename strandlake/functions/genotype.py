@@ -128,12 +128,6 @@ def mean_cm_per_base(markers: DataFrame) -> DataFrame:
     return markers.groupBy("chrom").agg(F.greatest(slope, F.lit(1e-8)).alias("mean"))
 
 
-def first_seen_index(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """(name, index): distinct values numbered from 0 in the order in which they are first seen by ``order``."""
-    first = rows.groupBy(name).agg(F.min(order).alias("_first"))
-    return first.select(name, (F.row_number().over(Window.orderBy("_first", name)) - 1).alias("index"))
-
-
 def marker_ids(ids: Column) -> Column:
     """Ids of a marker; none for ``.``."""
     return F.when(ids == ".", F.array().cast("array<string>")).otherwise(F.split(ids, ";"))

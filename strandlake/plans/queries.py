@@ -188,7 +188,7 @@ def nearest_map_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.nearest_entry(views.markers(spark, sf_dir).select("m", "chrom", "pos"), views.gmap(spark, sf_dir))
 
 
-@query("SELECT chrom, m, round(sum(d) OVER (PARTITION BY chrom ORDER BY m ROWS UNBOUNDED PRECEDING), 9) AS spaced FROM (SELECT chrom, m, coalesce(greatest(pos / 1e6 - lag(pos / 1e6) OVER (PARTITION BY chrom ORDER BY m), 0.005), pos / 1e6) AS d FROM markers)")
+@query("SELECT chrom, m, round(sum(d) OVER (PARTITION BY chrom ORDER BY m ROWS UNBOUNDED PRECEDING), 9) AS spaced FROM (SELECT chrom, m, CASE WHEN row_number() OVER (PARTITION BY chrom ORDER BY m) = 1 THEN pos / 1e6 ELSE greatest(pos / 1e6 - lag(pos / 1e6) OVER (PARTITION BY chrom ORDER BY m), 0.005) END AS d FROM markers)")
 def spaced_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joins.spaced_positions(_mega(spark, sf_dir), 0.005).select("chrom", "m", "spaced"), "spaced")
 
@@ -390,7 +390,17 @@ def printed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.printed_markers(marks, segments.window_plan(marks, 0.4, 0.1))
 
 
-@query("SELECT p.chrom, p.window_id::BIGINT AS window_id, count(*) AS n, count(*) FILTER (m % 3 = 0) AS n_targ FROM plan p JOIN placed q ON q.chrom = p.chrom AND q.i BETWEEN s AND e - 1 GROUP BY ALL", _WINDOWS)
+#: The same with overlaps that begin 0.1 cM before the last base in front of a window's end position.
+_SHARED = """placed AS MATERIALIZED (SELECT chrom, m, pos, row_number() OVER (PARTITION BY chrom ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY chrom) AS n FROM markers), cut AS MATERIALIZED (
+  SELECT chrom, i, n, count(*) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 399999 FOLLOWING) AS first_end, count(*) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 299999 FOLLOWING) AS next_end,
+    count(*) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 299998 FOLLOWING) AS first_back, count(*) OVER (PARTITION BY chrom ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 199998 FOLLOWING) AS next_back FROM placed
+), wins AS (
+  SELECT c.chrom, 0 AS k, 0::BIGINT AS s, 0::BIGINT AS r, greatest(c.first_end, 1) AS e, c.n, c.first_back AS back FROM cut c WHERE c.i = 0 UNION ALL
+  SELECT w.chrom, w.k + 1, greatest(least(w.back, w.e), w.s), w.e, greatest(x.next_end, w.e + 1), w.n, x.next_back FROM wins w JOIN cut x ON x.chrom = w.chrom AND x.i = w.e WHERE w.e < w.n
+)"""
+
+
+@query("SELECT p.chrom, p.k::BIGINT AS window_id, count(*) AS n, count(*) FILTER (m % 3 = 0) AS n_targ FROM wins p JOIN placed q ON q.chrom = p.chrom AND q.i BETWEEN s AND e - 1 GROUP BY ALL", _SHARED)
 def shared_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over reference markers, of which the target has every third, with the markers of both in each."""
     marks = _mega(spark, sf_dir)
@@ -680,7 +690,7 @@ def mean_map_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_type, row_number() OVER (ORDER BY min(p_partkey)) - 1 AS index FROM part GROUP BY p_type")
 def first_seen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fn.first_seen_index(views.table(spark, sf_dir, "part"), "p_type", "p_partkey")
+    return prefix.first_seen_index(views.table(spark, sf_dir, "part"), "p_type", "p_partkey")
 
 
 @query("SELECT m, chrom, pos FROM markers WHERE chrom IN (SELECT m % 3 FROM gt_obs WHERE m % 2 = 0)")
