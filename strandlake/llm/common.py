@@ -87,7 +87,7 @@ def stored(df: DataFrame, uid: str) -> DataFrame:
     callers that write their results open a :func:`work_folder` around both.
     """
     place = f"{_FOLDER.get() or shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    df.withColumn(uid, F.monotonically_increasing_id()).write.parquet(place)
+    df.withColumn(uid, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(place)
     return df.sparkSession.read.parquet(place)
 
 
