@@ -89,52 +89,87 @@ def holders(urls: DataFrame, wanted: DataFrame, weight: DataFrame, salts: int =
     return asked.join(index, ["token", "salt"]).where(F.size(F.array_except("wanted", "tokens")) == 0).select("uid", "key")
 
 
-_RULES = "rule_id long, tokens array<string>, verdict string, confidence double, support double"
+_RULES = "rule_id long, tokens array<string>, verdict string, confidence double, support double, bound double"
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_rows: int = 30, max_items: int = 8) -> DataFrame:
-    """Rules (rule_id, tokens, verdict, confidence, support) from ``labelled(uid, tokens, verdict)``.
+def lower_bound(hits: Column, n: Column, z: float) -> Column:
+    """The lower end of Wilson's interval for the share of ``hits`` in ``n``: it grows with the share and, for a given share, with ``n``."""
+    share = hits / n
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
-    FP-growth proposes combinations of frequent items: of each URL's items at most the
-    ``max_items`` rarest take part, so a URL adds at most 2 ** max_items combinations and
-    there are at most 2 ** max_items / min_support of them. All single items and pairs of
-    items are proposed besides, however many a URL has. Every proposal is then counted
-    exactly over all labelled URLs and all their tokens. Kept are rules that rest on ``min_rows``
-    URLs at least and reach support and confidence, if the verdict is likelier than
-    without the tokens. With fewer than ``min_rows`` labels there are no rules. The result is
-    stored, as it is used several times.
+
+def _sets_at_most(sizes: dict[int, int], least: int) -> int:
+    """A bound on the sets that stand in ``least`` baskets or more, from how many baskets have each size.
+
+    Without half of those baskets, the largest ones, each such set still stands in the other half; so a few very long URLs do not count.
+    """
+    skip, total = least // 2, 0
+    for size, n in sorted(sizes.items(), reverse=True):
+        off = min(skip, n)
+        skip -= off
+        total += (n - off) << size
+    return total // (least - least // 2)
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_rows: int = 5, z: float = 1.96, max_sets: int = 20_000_000) -> DataFrame:
+    """Rules (rule_id, tokens, verdict, confidence, support, bound) from ``labelled(uid, tokens, verdict)``.
+
+    A set of tokens makes a rule if it reaches support (a share of all labelled URLs, ``min_rows`` of them at least) and
+    confidence, and if the lower bound of its confidence (``z`` deviations) is above the verdict's share without tokens; few labels so need
+    no threshold of their own. Rules are ranked by that bound. A rule of which a part has the same verdict and a bound as high can
+    never be the best one that matches, and is left out; nothing else is.
+
+    FP-growth runs over all items of all URLs, with the verdict as one item more, so its counts are those of the rules. Only items
+    that stand under one verdict alone are rules by themselves and take no part: what holds them is left out anyway. Should URLs hold
+    so many items that more than ``max_sets`` sets could reach the support, an error asks for a higher one, as no rule is dropped silently.
+    The result is stored, as it is used several times.
     """
     rows = checkpointed(labelled.where("verdict is not null").select("uid", "tokens", "verdict"))
     totals = {r.verdict: r["count"] for r in rows.groupBy("verdict").count().collect()}
-    if (n := sum(totals.values())) < min_rows:
+    if not (n := sum(totals.values())):
         return labelled.sparkSession.createDataFrame([], _RULES)
     least = max(math.ceil(min_support * n), min_rows)
-    often = checkpointed(frequent_tokens(rows, F.lit(least)))
-    items = often.groupBy("item").agg(F.sort_array(F.collect_list("token")).alias("all"), F.min("n").alias("n"))
-    held = checkpointed(rows.select("uid", F.explode("tokens").alias("item")).join(items.select("item", "n"), "item"))
-    rarest = Window.partitionBy("uid").orderBy("n", "item")
-    baskets = held.withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= max_items).groupBy("uid").agg(F.collect_list("item").alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=least / n).fit(baskets).freqItemsets if not baskets.isEmpty() else None
-    one = items.select(F.array("item").alias("items"))
-    two = held.alias("a").join(held.alias("b"), "uid").where("a.item < b.item").groupBy(F.col("a.item").alias("i"), F.col("b.item").alias("j")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.array("i", "j").alias("items"))
-    proposed = one.unionByName(two) if sets is None else one.unionByName(two).unionByName(sets.select(F.array_sort("items").alias("items")))
-    named = proposed.distinct().select(F.xxhash64(F.array_join("items", " ")).alias("key"), F.explode("items").alias("item")).join(items, "item")
-    wanted = checkpointed(named.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("all"))).alias("wanted")))
-    told = holders(rows, wanted, often).join(rows.select("uid", "verdict"), "uid").groupBy("key").agg(F.count("*").alias("n"), *(F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS))
-    each = told.select("key", "n", F.explode(F.array(*(F.struct(F.lit(v).alias("verdict"), F.col(v).alias("hits"), F.lit(totals.get(v, 0) / n).alias("share")) for v in VERDICTS))).alias("v")).select("key", "n", "v.*")
-    confidence = F.col("hits") / F.col("n")
-    good = each.where((F.col("hits") >= least) & (confidence >= min_confidence) & (confidence > F.col("share"))).join(wanted, "key")
-    return checkpointed(good.select(F.xxhash64("key", "verdict").alias("rule_id"), F.col("wanted").alias("tokens"), "verdict", confidence.alias("confidence"), (F.col("hits") / n).alias("support")))
+    often = frequent_tokens(rows, F.lit(least))
+    items = often.groupBy("item").agg(F.sort_array(F.collect_list("token")).alias("all"))
+    held = rows.select("uid", "verdict", F.explode("tokens").alias("item")).join(items.select("item"), "item")
+    told = held.groupBy("item").agg(F.count("*").alias("n"), *(F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS))
+    told = checkpointed(told.join(items, "item"))
+    mixed = told.where(F.greatest(*VERDICTS) < F.col("n")).select("item")
+    # no token has this sign
+    baskets = checkpointed(held.join(mixed, "item").groupBy("uid").agg(F.concat(F.collect_list("item"), F.array(F.concat(F.lit("="), F.first("verdict")))).alias("items")))
+    sizes = {r.size: r["count"] for r in baskets.groupBy(F.size("items").alias("size")).count().collect()}
+    if (could := _sets_at_most(sizes, least)) > max_sets:
+        raise ValueError(f"up to {could} sets of tokens reach {least} URLs; raise min_support or max_sets")
+    counted = told.select(F.array("item").alias("body"), "n", *VERDICTS)
+    if sizes:
+        sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / sum(sizes.values())).fit(baskets).freqItemsets
+        body = F.array_sort(F.filter("items", lambda t: ~t.startswith("=")))
+        freq = lambda mark: F.max(F.when(mark, F.col("freq")))
+        bare = F.size("body") == F.size("items")
+        more = sets.withColumn("body", body).where("size(body) > 1").groupBy("body").agg(freq(bare).alias("n"), *(F.coalesce(freq(~bare & F.array_contains("items", f"={v}")), F.lit(0)).alias(v) for v in VERDICTS))
+        counted = counted.unionByName(more)
+    each = counted.select("body", "n", F.explode(F.array(*(F.struct(F.lit(v).alias("verdict"), F.col(v).alias("hits"), F.lit(totals.get(v, 0) / n).alias("share")) for v in VERDICTS))).alias("v")).select("body", "n", "v.*")
+    each = each.withColumn("bound", lower_bound(F.col("hits"), F.col("n"), z)).where((F.col("hits") >= least) & (F.col("hits") / F.col("n") >= min_confidence) & (F.col("bound") > F.col("share")))
+    good = checkpointed(each.select(F.xxhash64(F.array_join("body", " "), "verdict").alias("key"), "body", "verdict", "hits", "n", "bound"))
+    # parts of a rule are found as rules are in URLs
+    asked = good.select(F.col("key").alias("uid"), F.col("body").alias("tokens"))
+    parts = holders(asked, good.select("key", F.col("body").alias("wanted")), asked.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+    of = lambda side: good.select(F.col("key").alias(side), F.col("verdict").alias(f"{side}_verdict"), F.col("bound").alias(f"{side}_bound"))
+    spare = parts.where("uid <> key").join(of("whole"), F.col("uid") == F.col("whole")).join(of("part"), F.col("key") == F.col("part"))
+    spare = spare.where("whole_verdict = part_verdict and part_bound >= whole_bound").select(F.col("whole").alias("key")).distinct()
+    named = good.join(spare, "key", "left_anti").select("key", "verdict", "hits", "n", "bound", F.explode("body").alias("item")).join(told.select("item", "all"), "item")
+    rules = named.groupBy("key", "verdict", "hits", "n", "bound").agg(F.array_sort(F.flatten(F.collect_list("all"))).alias("tokens"))
+    return checkpointed(rules.select(F.col("key").alias("rule_id"), "tokens", "verdict", (F.col("hits") / F.col("n")).alias("confidence"), (F.col("hits") / n).alias("support"), "bound"))
 
 
 def matched_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(uid, verdict, rule_id) of those ``urls(uid, tokens)`` that hold all tokens of a rule, found by :func:`holders`.
 
-    The most confident rule wins, then that with more support, then block before allow.
+    The rule with the highest bound wins, then that with more support, then block before allow.
     """
     weight = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     met = holders(urls, rules.select(F.col("rule_id").alias("key"), F.col("tokens").alias("wanted")), weight).join(rules, F.col("key") == F.col("rule_id"))
-    best = F.max(F.struct("confidence", "support", (F.col("verdict") == "block").alias("b"), "verdict", "rule_id")).alias("best")
+    best = F.max(F.struct("bound", "support", (F.col("verdict") == "block").alias("b"), "verdict", "rule_id")).alias("best")
     return met.groupBy("uid").agg(best).select("uid", F.col("best.verdict").alias("verdict"), F.col("best.rule_id").alias("rule_id"))
 
 

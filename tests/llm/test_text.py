@@ -228,40 +228,58 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("max_items", [2, 8])
-def test_mined_rules_equal_brute_force(spark, max_items):
+def wilson(hits, n, z=1.96):
+    p = hits / n
+    return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+
+@pytest.mark.parametrize("longest", [3, 6])
+def test_mined_rules_equal_brute_force(spark, longest):
+    """All rules of any size, but those of which a part ranks as high; verdicts are those of all rules."""
     rng = random.Random(1)
     rows = []
     for i in range(400):
-        words = rng.sample(["news", "casino", "win", "shop", "blog", "cats", "free"], 3)
-        rows.append((i, f"https://www.{words[0]}.{words[1]}.site/{words[2]}/{i}"))
-    bad = {u for i, u in rows if "casino" in u and ("win" in u or "free" in u)}
+        words = rng.sample(["news", "casino", "win", "shop", "blog", "cats", "free"], rng.randint(3, longest))
+        rows.append((i, f"https://www.{words[0]}.{words[1]}.site/{'/'.join(words[2:])}/{i}"))
+    bad = {u for i, u in rows if "casino" in u and ("win" in u or "free" in u)} if longest == 3 else {u for i, u in rows if "casino" in u and "win" in u and "free" in u and rng.random() < 0.9}
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame([(u, "block" if u in bad else "allow") for i, u in rows if i % 2] + [(rows[0][1], None), (None, "block")], "url string, verdict string")
     sample = [(frozenset(re.findall("[a-z]+", u.split("://")[1])), "block" if u in bad else "allow") for i, u in rows if i % 2]
     having = lambda s: [v for t, v in sample if s <= t]
-    rules = url_rules.mine_rules(url_rules.parsed(pages, labels).select("uid", "tokens", F.col("marked").alias("verdict")), min_rows=5, max_items=max_items).collect()
-    got = {(frozenset(r.tokens), r.verdict): (r.confidence, r.support) for r in rules}
+    rules = url_rules.mine_rules(url_rules.parsed(pages, labels).select("uid", "tokens", F.col("marked").alias("verdict")), min_rows=5).collect()
+    got = {(frozenset(r.tokens), r.verdict): (r.confidence, r.support, r.bound) for r in rules}
     names = sorted(set().union(*(t for t, _ in sample)))
-    want = {}
-    for size in range(1, 6):
+    every = {}
+    for size in range(1, len(names) + 1):
         for s in map(frozenset, itertools.combinations(names, size)):
             told = having(s)
             # tokens that stand in the same URLs are one
             full = frozenset(s | {n for n in names for t in s if having(frozenset([n])) == having(frozenset([t])) and {x for x, _ in sample if n in x} == {x for x, _ in sample if t in x}})
             for v in url_rules.VERDICTS:
                 hits, share = told.count(v), sum(x == v for _, x in sample) / len(sample)
-                if hits >= 5 and hits / len(told) >= 0.8 and hits / len(told) > share:
-                    want[full, v] = (hits / len(told), hits / len(sample))
-    complete = {k: v for k, v in want.items() if max_items == 8 or len(k[0] - {"www", "site"}) + bool(k[0] & {"www", "site"}) <= 2}
-    assert {k: pytest.approx(v) for k, v in got.items()} == {k: v for k, v in want.items() if k in got}
-    assert complete.keys() <= got.keys()
-    judged = {r.page_id: (r.verdict, r.mined_rule) for r in url_rules.judge(pages, labels, min_rows=5, max_items=max_items).collect()}
-    order = lambda r: (r.confidence, r.support, r.verdict == "block")
+                if hits >= 5 and hits / len(told) >= 0.8 and wilson(hits, len(told)) > share:
+                    every[full, v] = (hits / len(told), hits / len(sample), wilson(hits, len(told)))
+    want = {(s, v): x for (s, v), x in every.items() if not any(p < s and w == v and y[2] >= x[2] for (p, w), y in every.items())}
+    assert {k: pytest.approx(v) for k, v in want.items()} == got
+    assert max(len(s - {"www", "site"}) for s, _ in want) >= min(longest, 4) - 1
+    judged = {r.page_id: r.verdict for r in url_rules.judge(pages, labels, min_rows=5).collect()}
     for i, u in rows:
-        fits = [r for r in rules if set(r.tokens) <= set(re.findall("[a-z]+", u.split("://")[1]))]
-        assert judged[i][0] == (max(fits, key=order).verdict if fits else "allow")
-    assert all(judged[i][0] == "block" for i, u in rows if u in bad)
+        fits = [(x[2], x[1], v == "block", v) for (s, v), x in every.items() if s <= set(re.findall("[a-z]+", u.split("://")[1]))]
+        assert judged[i] == (max(fits)[3] if fits else "allow")
+    if longest == 3:
+        assert all(judged[i] == "block" for i, u in rows if u in bad)
+
+
+def test_too_many_sets_are_an_error(spark):
+    """Items that come and go under both verdicts could make more sets than the bound; one very long URL does not."""
+    rng = random.Random(4)
+    words = [f"t{chr(97 + i)}" for i in range(24)]
+    rows = [(i, [w for w in words if rng.random() < 0.9], url_rules.VERDICTS[i % 2]) for i in range(60)]
+    few = [(i, rng.sample(words, 3), url_rules.VERDICTS[i % 2]) for i in range(60)]
+    kind = "uid long, tokens array<string>, verdict string"
+    with pytest.raises(ValueError, match="min_support"):
+        url_rules.mine_rules(spark.createDataFrame(rows, kind), max_sets=100_000)
+    url_rules.mine_rules(spark.createDataFrame([*few, (99, words, "allow")], kind), max_sets=100_000)
 
 
 def test_templates_do_not_explode(spark):
