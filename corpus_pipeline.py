@@ -30,8 +30,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: Jaccard similarity of 0.8 or more over five-word shingles; texts without words are one group."""
-    return jaccard.keep_dissimilar(docs)
+    """One row of each group of near copies; texts without words are one group.
+
+    Groups are made by SimHash, links at two bits or fewer as in op2, and joined by what fingerprints cannot see: all pairs with a Jaccard
+    similarity of 0.8 or more over five-word shingles, counted exactly.
+    """
+    return jaccard.keep_dissimilar(docs, fingerprints=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

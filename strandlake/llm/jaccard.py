@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
+from . import simhash
 from .common import checkpointed, components, fresh, stored, values
 from .simhash import shingle_hashes
 
@@ -139,44 +140,71 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return checkpointed(every.join(last, every.root == last.was, "left").select("node", F.coalesce("now", "root").alias("root")))
 
 
-def similar_groups(docs: DataFrame, text_col: str = "text", uid: str = "uid", turns: int = 1) -> DataFrame:
+def similar_groups(docs: DataFrame, text_col: str = "text", uid: str = "uid", turns: int = 1, roots: DataFrame | None = None, extra: int = 6) -> DataFrame:
     """Rows (node, root) of all rows of ``docs`` that a chain of pairs with similarity 4/5 or more ties to another row.
 
+    ``roots(node, root)``, a stored table, are groups that exist already; they are joined by the pairs and stay whole.
+
     ``docs`` must be a stored table, ``uid`` an own long of each of its rows. Texts without words have no row. ``turns`` passes with
     leaders go before the one over all pairs that are left; their number changes how much work there is, not the result. On the check's
-    corpus three took more shuffles than they saved.
+    corpus three took more shuffles than they saved; up to ``extra`` further ones follow only while more than four pairs a text are left.
     """
     by_shingle = Window.partitionBy("h")
     rows = _prefixes(docs, text_col, uid)
     # only shingles that two texts show, one of them as the smaller
     rows = rows.select("*", F.min("uid").over(by_shingle).alias("lo"), F.max("uid").over(by_shingle).alias("hi"), F.max("short").over(by_shingle).alias("any"))
     met = rows.where("lo < hi and any").select("uid", "size", "at", "h", "short")
-    rest = checkpointed(met.select("*", F.count("*").over(Window.partitionBy("uid")).cast("int").alias("shared"), F.col("uid").alias("root")))
-    roots = None
+    every = met.select("*", F.count("*").over(Window.partitionBy("uid")).cast("int").alias("shared"), F.col("uid").alias("root"))
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """What still stands in two groups."""
+        open_ = rows.drop("root").join(roots, rows.uid == roots.node, "left").withColumn("root", F.coalesce("root", "uid")).drop("node")
+        return checkpointed(open_.select("*", F.min("root").over(by_shingle).alias("lo"), F.max("root").over(by_shingle).alias("hi")).where("lo < hi").drop("lo", "hi"))
+
+    rest = checkpointed(every) if roots is None else still_open(every)
     for turn in range(turns):
         if (links := _similar(_led(rest, turn), docs, text_col, uid)).isEmpty():
             break
         roots = _joined(roots, links)
-        # what still stands in two groups
-        open_ = rest.drop("root").join(roots, rest.uid == roots.node, "left").withColumn("root", F.coalesce("root", "uid")).drop("node")
-        rest = checkpointed(open_.select("*", F.min("root").over(by_shingle).alias("lo"), F.max("root").over(by_shingle).alias("hi")).where("lo < hi").drop("lo", "hi"))
-    small, large = (rest.select(*(F.col(c).alias(f"{c}{k}") for c in rest.columns)) for k in "xy")
-    # the shingles that may still agree after this one must do for what the sizes ask
-    met_again = small.where("shortx").join(large, F.expr("hx = hy and rootx <> rooty and struct(sizex, uidx) < struct(sizey, uidy) and 4 * sizey <= 5 * sizex and 9 * least(sizex - atx, sizey - aty) >= 4 * (sizex + sizey)"))
-    more = _similar(met_again.select(F.col("uidx").alias("a"), F.col("uidy").alias("b")).distinct(), docs, text_col, uid)
+        rest = still_open(rest)
+
+    def pairs_left() -> DataFrame:
+        small, large = (rest.select(*(F.col(c).alias(f"{c}{k}") for c in rest.columns)) for k in "xy")
+        # the shingles that may still agree after this one must do for what the sizes ask
+        met_again = small.where("shortx").join(large, F.expr("hx = hy and rootx <> rooty and struct(sizex, uidx) < struct(sizey, uidy) and 4 * sizey <= 5 * sizex and 9 * least(sizex - atx, sizey - aty) >= 4 * (sizex + sizey)"))
+        return checkpointed(met_again.select(F.col("uidx").alias("a"), F.col("uidy").alias("b")).distinct())
+
+    left, turn = pairs_left(), turns
+    # a crowd of near copies: leaders take few pairs a text, and each link they find closes many of those that are left
+    while turn < turns + extra and left.count() > 4 * rest.agg(F.count_distinct("uid").alias("n")).first().n:
+        if (links := _similar(_led(rest, turn), docs, text_col, uid)).isEmpty():
+            break
+        roots = _joined(roots, links)
+        rest, turn = still_open(rest), turn + 1
+        left = pairs_left()
+    more = _similar(left, docs, text_col, uid)
     if more.isEmpty():
         return roots if roots is not None else more.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return _joined(roots, more)
 
 
-def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_groups(rows: DataFrame, id_col: str, text_col: str, uid: str) -> DataFrame:
+    """(node, root): rows whose SimHash fingerprints a chain of links at two bits or fewer ties together; the root is the least number. Stored."""
+    near = simhash.near_groups(rows, id_col, text_col, uid=F.col(uid)).select("uid", F.col("root").alias("fp_root"))
+    near = checkpointed(near)
+    least = near.groupBy("fp_root").agg(F.min("uid").alias("root"), F.max("uid").alias("hi")).where("root < hi").drop("hi")
+    return checkpointed(near.join(least, "fp_root").select(F.col("uid").alias("node"), "root"))
+
+
+def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprints: bool = False) -> DataFrame:
     """One row of each group of near copies, that with the smallest id (nulls last, then the first row), with all columns.
 
-    Texts without words have no shingle; they count as equal to each other.
+    Texts without words have no shingle; they count as equal to each other. With ``fingerprints`` the groups are those of
+    :func:`fingerprint_groups`, joined by all pairs with similarity 4/5 or more: no link of either kind is lost.
     """
     uid = fresh(docs, "uid")
     rows = stored(docs, uid)
-    roots = similar_groups(rows, text_col, uid)
+    roots = similar_groups(rows, text_col, uid, roots=fingerprint_groups(rows, id_col, text_col, uid) if fingerprints else None)
     empty = F.trim(F.translate(F.coalesce(text_col, F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
     at = rows.select(F.col(uid).alias("uid"), F.col(id_col).alias("doc_id"), empty.alias("empty")).join(roots, F.col("uid") == roots.node, "left")
     root = F.when(F.col("empty"), F.lit(-1).cast("long")).otherwise(F.coalesce("root", "uid"))
