@@ -32,6 +32,8 @@ _BITS = 20
 _MASK = np.uint64((1 << _BITS) - 1)
 #: Of so many texts one is counted for the order.
 _SAMPLE = 16
+#: Longs in a text's parity map.
+_MAP = 8
 
 
 def shingle_set(raw: bytes | None) -> np.ndarray:
@@ -39,6 +41,26 @@ def shingle_set(raw: bytes | None) -> np.ndarray:
     return np.unique(shingle_hashes(raw or b"", WIDTH))
 
 
+def parity_map(h: np.ndarray) -> np.ndarray:
+    """``_MAP`` longs, each bit the parity of how many of a set's hashes fall on it.
+
+    A shingle that both sets have changes both maps alike, so two maps differ in no more bits than there are shingles that only one set has.
+    """
+    bits = np.bincount((h >> np.uint64(_BITS)).astype(np.int64) % (64 * _MAP), minlength=64 * _MAP) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _parity_maps(docs: DataFrame, text_col: str, uid: str) -> DataFrame:
+    """(uid, map) of each text."""
+
+    def maps(texts: pa.Array) -> pa.Array:
+        rows = [parity_map(shingle_set(raw)) for raw in values(texts)]
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * _MAP, pa.int32()), pa.array(flat))
+
+    return docs.select(F.col(uid).alias("uid"), arrow_udf(maps, "array<bigint>")(F.coalesce(text_col, F.lit("")).cast("binary")).alias("map"))
+
+
 def _bucket_counts(docs: DataFrame, text_col: str, uid: str) -> np.ndarray:
     """How many of the sampled texts' shingles fall into each bucket of hashes. Tasks send what they have added up, and sums by bucket meet in Spark."""
 
@@ -140,14 +162,14 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return checkpointed(every.join(last, every.root == last.was, "left").select("node", F.coalesce("now", "root").alias("root")))
 
 
-def similar_groups(docs: DataFrame, text_col: str = "text", uid: str = "uid", turns: int = 1, roots: DataFrame | None = None, extra: int = 6) -> DataFrame:
+def similar_groups(docs: DataFrame, text_col: str = "text", uid: str = "uid", turns: int = 2, roots: DataFrame | None = None, extra: int = 6) -> DataFrame:
     """Rows (node, root) of all rows of ``docs`` that a chain of pairs with similarity 4/5 or more ties to another row.
 
     ``roots(node, root)``, a stored table, are groups that exist already; they are joined by the pairs and stay whole.
 
     ``docs`` must be a stored table, ``uid`` an own long of each of its rows. Texts without words have no row. ``turns`` passes with
-    leaders go before the one over all pairs that are left; their number changes how much work there is, not the result. On the check's
-    corpus three took more shuffles than they saved; up to ``extra`` further ones follow only while more than four pairs a text are left.
+    leaders go before the one over all pairs that are left; their number changes how much work there is, not the result. After one
+    pass a crowd of near copies still makes half a million rows in the join over all pairs, after two it does not; up to ``extra`` further ones follow only while more than four pairs a text are left.
     """
     by_shingle = Window.partitionBy("h")
     rows = _prefixes(docs, text_col, uid)
@@ -169,9 +191,13 @@ def similar_groups(docs: DataFrame, text_col: str = "text", uid: str = "uid", tu
         rest = still_open(rest)
 
     def pairs_left() -> DataFrame:
-        small, large = (rest.select(*(F.col(c).alias(f"{c}{k}") for c in rest.columns)) for k in "xy")
+        # texts that stand in two groups still, with their parity maps: the maps of a pair that has enough in common differ in at most a ninth of its sizes
+        ids = checkpointed(rest.select("uid").distinct())
+        mapped = rest.join(_parity_maps(_marked(docs, uid, ids), text_col, uid), "uid")
+        small, large = (mapped.select(*(F.col(c).alias(f"{c}{k}") for c in mapped.columns)) for k in "xy")
+        apart = " + ".join(f"bit_count(mapx[{i}] ^ mapy[{i}])" for i in range(_MAP))
         # the shingles that may still agree after this one must do for what the sizes ask
-        met_again = small.where("shortx").join(large, F.expr("hx = hy and rootx <> rooty and struct(sizex, uidx) < struct(sizey, uidy) and 4 * sizey <= 5 * sizex and 9 * least(sizex - atx, sizey - aty) >= 4 * (sizex + sizey)"))
+        met_again = small.where("shortx").join(large, F.expr(f"hx = hy and rootx <> rooty and struct(sizex, uidx) < struct(sizey, uidy) and 4 * sizey <= 5 * sizex and 9 * least(sizex - atx, sizey - aty) >= 4 * (sizex + sizey) and 9 * ({apart}) <= sizex + sizey"))
         return checkpointed(met_again.select(F.col("uidx").alias("a"), F.col("uidy").alias("b")).distinct())
 
     left, turn = pairs_left(), turns

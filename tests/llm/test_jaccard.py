@@ -4,6 +4,9 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
+
+from strandlake.llm import jaccard
 
 from .test_core import documents, union_find
 
@@ -46,3 +49,15 @@ def test_near_stage_equals_brute_force(spark):
     kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(best.values())
+
+
+def test_parity_maps_differ_in_no_more_bits_than_sets(spark):
+    """No pair with enough in common is lost by its maps: they differ in at most as many bits as shingles stand in one set alone."""
+    rng = random.Random(5)
+    for n in (1, 5, 80, 3000):
+        words = [f"w{rng.randrange(500)}" for _ in range(n)]
+        copy = [w if rng.random() < 0.97 else f"own{rng.random()}" for w in words]
+        x, y = (jaccard.shingle_set(" ".join(t).encode()) for t in (words, copy))
+        apart = int(np.bitwise_count((jaccard.parity_map(x) ^ jaccard.parity_map(y)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(x, y))
+        assert len(jaccard.parity_map(x)) == jaccard._MAP
